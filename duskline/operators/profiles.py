@@ -40,8 +40,9 @@ def class_calendar(
 ) -> DataFrame:
     """Rows per class, calendar month and year, zeros filled: one column per year."""
     wide = (
-        df.groupBy(status, F.month(event).alias("month"))
-        .pivot(F.year(event), years)
+        df.select(status, F.month(event).alias("month"), F.year(event).alias("_year"))
+        .groupBy(status, "month")
+        .pivot("_year", years)
         .count()
     )
     cells = [F.coalesce(F.col(str(y)), F.lit(0)).alias(f"y{y}") for y in years]
@@ -88,8 +89,14 @@ def summarize(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(F.array(*parts).alias("_s")).select(F.inline("_s"))
 
 
-def class_balance(df: DataFrame, status: str = "status", by: list[str | Column] = ()) -> DataFrame:
-    """Rows per class, event share and healthy rows per event row."""
+def class_balance(
+    df: DataFrame,
+    status: str = "status",
+    by: list[str | Column] = (),
+    extra: list[Column] = (),
+) -> DataFrame:
+    """Rows per class, event share and healthy rows per event row; ``extra`` aggregates
+    ride along in the same pass."""
     bad, good = F.count_if(F.col(status) == 1), F.count_if(F.col(status) == 0)
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"),
@@ -97,6 +104,7 @@ def class_balance(df: DataFrame, status: str = "status", by: list[str | Column]
         bad.alias("events"),
         F.round(share(bad, good + bad), 6).alias("share"),
         F.round(share(good, bad), 4).alias("ratio"),
+        *extra,
     )
 
 

@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from duskline.functions.numbers import blank_cells, is_blank, number_from_text
+from duskline.functions.numbers import blank_cells, number_from_text, row_check
+from duskline.operators.joins import guarded_lookup
 from duskline.sources.scratch import settle
 
 # Fixed value: national currency units per euro before the changeover year.
@@ -130,14 +131,7 @@ def map_category(
         ),
         "ranks",
     )
-    if dim.count() <= broadcast_rows:
-        joined = df.join(F.broadcast(dim), c, "left")
-    else:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-        copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = (
-            df.withColumn("_salt", salt.cast("int")).join(copies, [c, "_salt"], "left").drop("_salt")
-        )
+    joined = guarded_lookup(df, dim, [c], df.columns, broadcast_rows, salts)
     mapped = F.coalesce(F.col("_rank"), F.col(c).cast("string")).alias(c)
     return joined.select(*[mapped if x == c else F.col(x) for x in df.columns])
 
@@ -183,7 +177,7 @@ Z_TERMS = [
 
 def drop_empty_rows(df: DataFrame, cols: list[str], max_empty: int) -> DataFrame:
     """Drop rows with more than ``max_empty`` null-or-zero cells among ``cols``."""
-    return df.filter(blank_cells(cols) <= max_empty)
+    return df.filter(row_check(blank_cells(cols) <= max_empty))
 
 
 def all_null(cols: list[str]) -> Column:
@@ -191,7 +185,8 @@ def all_null(cols: list[str]) -> Column:
 
 
 def complete_cases(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    return df.dropna("any", subset=cols)
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols or df.columns])
+    return df.filter(row_check(present))
 
 
 def label(c: str, positive=1) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duskline.functions.dates import compose_period
 from duskline.functions.seeds import SLOT_BITS, digest, seeded_bucket, slot
+from duskline.operators.joins import null_safe
 
 CELL_BITS = 12
 
@@ -46,12 +47,9 @@ def take_seeded(
         .filter(F.col("_left") > 0)
         .select(*by, "_cell", "_left")
     )
-    # A group without a name is still a group: joins must match null to null.
-    same = [F.col(f"_r.{c}").eqNullSafe(F.col(f"_l.{c}")) for c in by]
-    cond = F.col("_l._cell") == F.col("_r._cell")
-    for s in same:
-        cond = cond & s
-    rank = Window.partitionBy(*[f"_l.{c}" for c in by], "_l._cell").orderBy("_m", *key)
+    # A group without a name is still a group: null must meet null.
+    cond = (F.col("_l._cell") == F.col("_r._cell")) & null_safe(by, "_l", "_r")
+    rank = Window.partitionBy(*[f"_l.{c}" for c in by], "_l._cell").orderBy("_m", *[f"_l.{c}" for c in key])
     return (
         marked.alias("_l")
         .join(cells.alias("_r"), cond)

@@ -2,7 +2,13 @@
 
 
 def load():
-    from duskline.plans import cleaning_queries, timeline_queries  # noqa: F401
+    from duskline.plans import (  # noqa: F401
+        cleaning_queries,
+        evaluation_queries,
+        model_queries,
+        sampling_queries,
+        timeline_queries,
+    )
     from duskline.plans.catalog import ORACLES, QUERIES
 
     return QUERIES, ORACLES

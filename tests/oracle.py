@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import glob
-import math
 import os
 
 import duckdb
@@ -17,29 +16,22 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
-        return "null"
-    if isinstance(v, float):
-        return f"{v:.10g}"
-    return str(v)
-
-
-def _rows(table):
-    cols = sorted(table.column_names)
-    data = [table.column(c).to_pylist() for c in cols]
-    return cols, sorted(tuple(_cell(v) for v in r) for r in zip(*data))
-
-
 def _plain(t) -> str:
     return str(t).replace("large_", "")
 
 
+def _rounded(table: str, schema) -> str:
+    cells = [
+        f'round("{f.name}", 6) AS "{f.name}"' if str(f.type) == "double" else f'"{f.name}"'
+        for f in sorted(schema, key=lambda f: f.name)
+    ]
+    return f"SELECT {', '.join(cells)} FROM {table}"
+
+
 def compare(df, con, sql) -> str | None:
     """None when equal, else what differs first."""
-    a, b = df.toArrow(), con.execute(sql).to_arrow_table()
-    ca, ra = _rows(a)
-    cb, rb = _rows(b)
+    a, b = df.toArrow(), con.sql(sql).to_arrow_table()
+    ca, cb = sorted(a.column_names), sorted(b.column_names)
     if ca != cb:
         return f"columns {ca} != {cb}"
     types = [
@@ -49,11 +41,13 @@ def compare(df, con, sql) -> str | None:
     ]
     if types:
         return f"types {types}"
-    if len(ra) != len(rb):
-        return f"rows {len(ra)} != {len(rb)}"
-    for x, y in zip(ra, rb):
-        if x != y:
-            return f"{dict(zip(ca, x))} != {dict(zip(ca, y))}"
-    if not ra:
-        return "both empty"
-    return None
+    if a.num_rows != b.num_rows:
+        return f"rows {a.num_rows} != {b.num_rows}"
+    con.register("spark_rows", a)
+    con.register("sql_rows", b)
+    x, y = _rounded("spark_rows", a.schema), _rounded("sql_rows", b.schema)
+    diff = con.sql(f"({x}) EXCEPT ALL ({y})").limit(2).fetchall()
+    if diff:
+        other = con.sql(f"({y}) EXCEPT ALL ({x})").limit(2).fetchall()
+        return f"{ca}: {diff} != {other}"
+    return None if a.num_rows else "both empty"
