@@ -6,7 +6,7 @@ semi or anti join. ``NOT IN`` is avoided: one null key would empty the result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duskline.functions.numbers import strict_sum
 from duskline.operators.projection import all_null, annual_rows
@@ -86,6 +86,24 @@ def exclude_no_annual(
     return minus_ids(df, keys, ENTITY_YEAR)
 
 
+def exclusion_facts(
+    df: DataFrame, event: Column, unclear: Column, flag: str, annual_cols: list[str], month: int = 12
+) -> DataFrame:
+    """Everything the three exclusions ask, per entity-year, in one aggregation."""
+    statement_missing = (F.month("period") == month) & all_null(annual_cols)
+    facts = df.groupBy(*ENTITY_YEAR).agg(
+        F.bool_or(F.coalesce(unclear, F.lit(False))).alias("unclear"),
+        strict_sum(flag).alias("lived"),
+        F.bool_or(statement_missing).alias("no_annual"),
+        F.max(F.when(event, F.col("year"))).alias("_event_year"),
+    )
+    # One row per year of an entity, so this window stays small for every entity.
+    until = F.max("_event_year").over(Window.partitionBy("id"))
+    return facts.withColumn("exempt", F.coalesce(F.col("year") <= until, F.lit(False))).drop(
+        "_event_year"
+    )
+
+
 def clean_rows(
     df: DataFrame,
     event: Column,
@@ -94,11 +112,16 @@ def clean_rows(
     annual_cols: list[str],
     periods: int = 12,
 ) -> DataFrame:
-    """The three exclusions in order, with exemptions known before any row is removed."""
-    exempt = exempt_ids(df, event)
-    df = exclude_any(df, unclear)
-    df = exclude_young(df, flag, periods, exempt)
-    return exclude_no_annual(df, annual_cols, exempt)
+    """The three exclusions together.
+
+    Each removes whole entity-years, so none changes what another sees of the years that
+    remain: one pass for the facts and one anti join give what the three steps give in
+    order, with exemptions known before any row is removed.
+    """
+    f = exclusion_facts(df, event, unclear, flag, annual_cols)
+    young = F.coalesce(F.col("lived") < periods, F.lit(False))
+    drop = F.col("unclear") | ((young | F.col("no_annual")) & ~F.col("exempt"))
+    return minus_ids(df, f.filter(drop).select(*ENTITY_YEAR), ENTITY_YEAR)
 
 
 def healthy_pool(ids: DataFrame, events: DataFrame, scope: str = "ever") -> DataFrame:

@@ -81,10 +81,8 @@ def lag_features_dense(
     The calendar is made complete first; after that a lag in rows is a lag in months, and
     one sort by entity serves all cells. Months before the panel count as 0.
     """
-    bounds = panel.agg(F.min("period").alias("a"), F.max("period").alias("b"))
-    months = F.sequence(
-        bounds.select("a").scalar(), bounds.select("b").scalar(), F.expr("interval 1 month")
-    )
+    span = panel.agg(F.struct(F.min("period").alias("a"), F.max("period").alias("b"))).scalar()
+    months = F.sequence(span["a"], span["b"], F.expr("interval 1 month"))
     calendar = panel.select("id").distinct().select("id", F.explode(months).alias("period"))
     dense = calendar.join(panel.select("id", "period", *metrics), ["id", "period"], "left")
     w = Window.partitionBy("id").orderBy("period")

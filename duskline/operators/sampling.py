@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from duskline.functions.dates import compose_period
 from duskline.functions.seeds import SLOT_BITS, digest, seeded_bucket, slot
 from duskline.operators.joins import null_safe
+from duskline.sources.scratch import settle
 
 CELL_BITS = 12
 
@@ -155,10 +156,11 @@ def deal_controls(
         one = line.agg(F.first(F.struct("_total", "_line")).alias("s")).scalar()
         placed = pool.withColumn("_s", one).select("*", "_s._total", "_s._line").drop("_s")
     spot = slot(digest(seed, *by, "id")) % F.col("_total")
-    return (
-        placed.withColumn("_spot", spot)
-        .withColumn("_hit", F.filter("_line", lambda x: x["_hi"] > F.col("_spot"))[0])
-        .select(*pool.columns, F.col("_hit.event").alias("event"), F.col("_hit.quota").alias("quota"))
+    # The spot is bound to a lambda variable so that it is hashed once per entity and not
+    # once per month of the line.
+    hit = F.transform(F.array(spot), lambda s: F.filter("_line", lambda x: x["_hi"] > s)[0])[0]
+    return placed.withColumn("_hit", hit).select(
+        *pool.columns, F.col("_hit.event").alias("event"), F.col("_hit.quota").alias("quota")
     )
 
 
@@ -177,11 +179,16 @@ def match_controls(
     with a ``filled`` count of non-zero cells; it never builds the wide row, so only
     accepted controls are widened later. A month that falls short stays short:
     see ``control_shortfall``.
+
+    Counting the cells is the one pass over the panel. Its narrow result is settled,
+    because ranking reads it twice.
     """
     by = list(by)
     dealt = deal_controls(pool, quotas, seed, by)
     if filled is not None:
-        dealt = filled(dealt).filter(F.col("filled") >= min_filled).drop("filled")
+        dealt = settle(
+            filled(dealt).filter(F.col("filled") >= min_filled).drop("filled"), "accepted"
+        )
     return take_seeded(dealt, [*by, "id"], F.col("quota"), seed, [*by, "event"]).drop("quota")
 
 

@@ -18,8 +18,22 @@ YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 TEST_YEAR = 2000
 
 
+# Declared schemas: no job runs just to look at file footers.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,"
+    " c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def is_event() -> Column:
@@ -88,12 +102,11 @@ def full_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer in every month; metrics are null without orders."""
     p = panel(spark, sf_dir)
+    first, last = F.min("o_orderdate"), F.max("o_orderdate")
     span = table(spark, sf_dir, "orders").agg(
-        month_start(F.min("o_orderdate")).alias("a"), month_start(F.max("o_orderdate")).alias("b")
-    )
-    months = F.sequence(
-        span.select("a").scalar(), span.select("b").scalar(), F.expr("interval 1 month")
-    )
+        F.struct(month_start(first).alias("a"), month_start(last).alias("b"))
+    ).scalar()
+    months = F.sequence(span["a"], span["b"], F.expr("interval 1 month"))
     calendar = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), F.explode(months).alias("period")
     )

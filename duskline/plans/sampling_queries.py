@@ -9,6 +9,7 @@ from duskline.operators import (
     exclusion as ex,
     features as ft,
     profiles as pr,
+    projection as pj,
     sampling as sp,
 )
 from duskline.plans import fixtures as fx
@@ -177,15 +178,18 @@ def match_shortfall(spark, sf):
     return sp.control_shortfall(matched_ratios(spark, sf), quotas, ["ratio"])
 
 
+def filled_rows(wide, metrics):
+    """Wide rows with at least one lag cell that is not zero."""
+    cells = ft.lag_names(metrics)
+    return pj.drop_empty_rows(wide, cells, len(cells) - 1)
+
+
 def event_rows(spark, sf, metrics, annual_cols=()):
-    """Wide rows of the events with a non-empty window; empty ones are never widened."""
-    p = fx.panel(spark, sf)
-    e = fx.events(spark, sf)
-    kept = ft.filled_lag_cells(e, p, metrics).filter(F.col("filled") >= 1).drop("filled")
-    wide = ft.lag_features(kept, p, metrics)
+    """Wide rows of the events with a non-empty window."""
+    wide = ft.lag_features(fx.events(spark, sf), fx.panel(spark, sf), metrics)
     if annual_cols:
         wide = ft.annual_features(wide, fx.annual(spark, sf), list(annual_cols))
-    return wide.withColumn("status", F.lit(1))
+    return filled_rows(wide, metrics).withColumn("status", F.lit(1))
 
 
 def control_rows(spark, sf, metrics, annual_cols=(), ratio=2):
@@ -197,13 +201,13 @@ def control_rows(spark, sf, metrics, annual_cols=(), ratio=2):
 
 def case_control(spark, sf, ratio=2):
     """Events and matched controls as anchors, widened together in one pass."""
-    p = fx.panel(spark, sf)
-    e = fx.events(spark, sf)
-    kept = ft.filled_lag_cells(e, p, fx.METRICS).filter(F.col("filled") >= 1).drop("filled")
-    anchors = kept.withColumn("status", F.lit(1)).unionByName(
+    anchors = fx.events(spark, sf).withColumn("status", F.lit(1)).unionByName(
         matched(spark, sf, ratio).withColumn("status", F.lit(0))
     )
-    return ft.feature_rows(anchors, p, fx.METRICS, fx.annual(spark, sf), fx.ANNUAL)
+    wide = ft.feature_rows(
+        anchors, fx.panel(spark, sf), fx.METRICS, fx.annual(spark, sf), fx.ANNUAL
+    )
+    return filled_rows(wide, fx.METRICS)
 
 
 _ANY = " + ".join(f"(coalesce({m}, 0) <> 0)::INT" for m in fx.METRICS)
@@ -281,9 +285,7 @@ HD AS (SELECT id, event, {_LAG_N}, 0 AS status FROM DL WHERE {" + ".join(f"n_M_{
 def monthly_sets(spark, sf):
     """Every customer at every month against the events of that calendar month."""
     dense = ft.lag_features_dense(fx.panel(spark, sf), ["n"])
-    from duskline.operators.projection import drop_empty_rows
-
-    healthy = drop_empty_rows(dense, ft.lag_names(["n"]), 11).withColumn("status", F.lit(0))
+    healthy = filled_rows(dense, ["n"]).withColumn("status", F.lit(0))
     return ds.monthly_sets(healthy, event_rows(spark, sf, ["n"]), fx.TEST_YEAR)
 
 
