@@ -26,16 +26,25 @@ def annual_names(cols: list[str]) -> list[str]:
 
 
 def _window_rows(anchors: DataFrame, panel: DataFrame, metrics: list[str], n: int, gap: int):
-    """Anchors with the panel rows of their window; an anchor without any keeps one row."""
+    """Panel rows inside the window of an anchor, and one empty row per anchor.
+
+    An inner join lets either side be broadcast: with few anchors the panel is filtered
+    where it lies and only the window rows move. The empty rows keep anchors that meet
+    nothing, which an outer join would do only by shuffling the whole panel.
+    """
+    keys = anchors.columns
     p = panel.select(F.col("id").alias("_id"), F.col("period").alias("_period"), *metrics)
     in_window = (
         (F.col("id") == F.col("_id"))
         & (F.col("_period") <= anchor_month("event", gap))
         & (F.col("_period") > anchor_month("event", gap + n))
     )
-    return anchors.join(p, in_window, "left").withColumn(
-        "_lag", lag_months("event", "_period", gap)
+    found = anchors.join(p, in_window).select(
+        *keys, lag_months("event", "_period", gap).alias("_lag"), *metrics
     )
+    types = {f.name: f.dataType for f in p.schema.fields}
+    empty = [F.lit(None).cast(types[m]).alias(m) for m in metrics]
+    return found.unionByName(anchors.select(*keys, F.lit(None).cast("int").alias("_lag"), *empty))
 
 
 def lag_features(
@@ -43,8 +52,8 @@ def lag_features(
 ) -> DataFrame:
     """``<metric>_M_<i>`` for i = 1..n, counted back in calendar months from the anchor.
 
-    ``anchors`` has ``id``, ``event`` and any other key columns. Missing months are 0 and
-    shift nothing. The join and the pivot both hash on the entity.
+    ``anchors`` has ``id``, ``event`` and any other key columns, and is read twice: settle
+    it if it is costly. Missing months are 0 and shift nothing.
     """
     keys = anchors.columns
     wide = (
@@ -101,10 +110,13 @@ def annual_features(
 
     ``annual`` has one row per ``id`` and ``year``.
     """
-    known = annual.select("id", F.col("year").alias("_known"), *cols)
-    joined = anchors.withColumn("_known", known_year("event", cutoff)).join(
-        known, ["id", "_known"], "left"
+    asked = anchors.withColumn("_known", known_year("event", cutoff))
+    on = ["id", "_known"]
+    # Only the asked rows of the annual table move to the anchors.
+    known = annual.select("id", F.col("year").alias("_known"), *cols).join(
+        asked.select(*on).distinct(), on, "left_semi"
     )
+    joined = asked.join(known, on, "left")
     cells = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"{c}_Y_1") for c in cols]
     return joined.select(*anchors.columns, *cells)
 
@@ -120,10 +132,14 @@ def feature_rows(
     gap: int = GAP,
     cutoff: int = 7,
 ) -> DataFrame:
-    """Lags and annual block of each anchor, with the class label if one is given."""
-    wide = annual_features(
-        lag_features(anchors, panel, metrics, n, gap), annual, annual_cols, cutoff
-    )
+    """Lags and annual block of each anchor, with the class label if one is given.
+
+    ``anchors`` is unique and should be settled: the lags, the annual block and their
+    join each start from it.
+    """
+    lags = lag_features(anchors, panel, metrics, n, gap)
+    block = annual_features(anchors, annual, annual_cols, cutoff)
+    wide = lags.join(block, anchors.columns)
     if status is not None:
         wide = wide.withColumn("status", F.lit(status))
     return wide

@@ -7,6 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, functions as F
 
 from duskline.functions.numbers import share
+from duskline.sources.scratch import settle
 
 
 def category_pairs(df: DataFrame, c: str, event: Column, id: str = "id") -> DataFrame:
@@ -29,7 +30,12 @@ def category_risk(df: DataFrame, c: str, event: Column, id: str = "id") -> DataF
 
 
 def risk_rank(risk: DataFrame, parts: int = 50) -> DataFrame:
-    """Rank 1 + ratio %/% step with step = range / parts; no range gives no rank."""
+    """Rank 1 + ratio %/% step with step = range / parts; no range gives no rank.
+
+    The table has a row per category, but computing it reads the panel: it is settled
+    because both the range and the ranks need it.
+    """
+    risk = settle(risk, "risk")
     step = risk.agg(((F.max("ratio") - F.min("ratio")) / parts).alias("s")).scalar()
     rank = F.floor(F.try_divide(F.col("ratio"), step)) + 1
     return risk.withColumn("rank", rank.cast("int"))

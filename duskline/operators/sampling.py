@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duskline.functions.dates import compose_period
 from duskline.functions.seeds import SLOT_BITS, digest, seeded_bucket, slot
-from duskline.operators.joins import null_safe
+from duskline.operators.joins import null_safe, salted_join
 from duskline.sources.scratch import settle
 
 CELL_BITS = 12
@@ -101,7 +101,9 @@ def downsample(
     negatives = df.filter(F.col(label) == 0)
     if by:
         wanted = positives.groupBy(*by).agg((F.count(F.lit(1)) * ratio).alias("_want"))
-        kept = take_seeded(negatives.join(wanted, by), key, F.col("_want"), seed, by).drop("_want")
+        # Few groups, many rows: spread each group before it meets its count.
+        counted = salted_join(negatives, wanted, by, key, how="inner")
+        kept = take_seeded(counted, key, F.col("_want"), seed, by).drop("_want")
     else:
         want = positives.agg((F.count(F.lit(1)) * ratio).alias("w")).scalar()
         kept = take_seeded(negatives, key, want, seed)

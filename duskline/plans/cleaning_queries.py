@@ -271,19 +271,23 @@ def map_category(spark, sf):
 
 @query(
     "rank_dummies",
-    """SELECT P.id, period, CAST(rank AS VARCHAR) AS nation,
-CASE WHEN rank = 1 THEN 1 ELSE 0 END AS "nation_R1",
-CASE WHEN rank = 2 THEN 1 ELSE 0 END AS "nation_R2",
-CASE WHEN rank > 2 THEN 1 ELSE 0 END AS other
-FROM P JOIN CN USING (id) LEFT JOIN K ON K.category = CN.category""",
+    """SELECT P.id, period, CAST(rank AS VARCHAR) AS nation, 'nation_R' || rank AS dummy, 1 AS ones,
+(SELECT CAST(count(DISTINCT rank) AS INTEGER) FROM K) AS dummies
+FROM P JOIN CN USING (id) JOIN K ON K.category = CN.category""",
     _RISK_STEPS,
 )
 def rank_dummies(spark, sf):
+    """The set dummy of each row, out of one dummy per rank that occurs."""
     ranks = pr.risk_rank(_risk(spark, sf))
     df = _panel_with_nation(spark, sf).select("id", "period", "nation")
-    mapped = pj.map_category(df, "nation", ranks)
-    return pj.rank_dummies(mapped, "nation", [1, 2]).withColumn(
-        "other", (F.col("nation").cast("int") > 2).cast("int")
+    names = pj.distinct_values(ranks, "rank")
+    wide = pj.rank_dummies(pj.map_category(df, "nation", ranks), "nation", names)
+    cols = [f"nation_R{r}" for r in names]
+    which = F.coalesce(*[F.when(F.col(c) == 1, F.lit(c)) for c in cols])
+    ones = sum((F.col(c) for c in cols), F.lit(0))
+    return wide.select(
+        "id", "period", "nation", which.alias("dummy"), ones.alias("ones"),
+        F.lit(len(cols)).alias("dummies"),
     )
 
 

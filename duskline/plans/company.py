@@ -150,7 +150,7 @@ def widen(panel: DataFrame, anchors: DataFrame, blocks: Blocks, min_filled: int)
     """Wide rows of anchors, without those that have fewer than ``min_filled`` cells set."""
     cells = blocks.features()
     wide = ft.feature_rows(
-        anchors, panel, blocks.monthly, statements(panel, blocks), blocks.annual
+        settle(anchors, "anchors"), panel, blocks.monthly, statements(panel, blocks), blocks.annual
     )
     return pj.drop_empty_rows(wide, cells, len(cells) - min_filled)
 

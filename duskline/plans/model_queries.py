@@ -20,7 +20,7 @@ from duskline.plans.catalog import query
 from duskline.plans.oracle_views import seeded, slot_of
 from duskline.plans.sampling_queries import case_control, event_rows, matched_ratios
 from duskline.sources import panel_io as io
-from duskline.sources.scratch import scratch_path
+from duskline.sources.scratch import scratch_path, settle
 
 FEATURES = ft.lag_names(fx.METRICS) + ft.annual_names(fx.ANNUAL)
 SMALL = fr.ForestParams(trees=20, min_child_rows=10, depth=8)
@@ -95,9 +95,8 @@ def ratio_sweep(spark, sf):
     ratios = [1, 4]
     p = fx.panel(spark, sf)
     names = ft.lag_names(fx.METRICS)
-    controls = ft.lag_features(
-        matched_ratios(spark, sf, ratios).withColumn("status", F.lit(0)), p, fx.METRICS
-    )
+    anchors = matched_ratios(spark, sf, ratios).withColumn("status", F.lit(0))
+    controls = ft.lag_features(settle(anchors, "anchors"), p, fx.METRICS)
     events = event_rows(spark, sf, fx.METRICS)
     many = F.explode(F.array(*[F.lit(r) for r in ratios]))
     rows = controls.unionByName(events.withColumn("ratio", many))

@@ -16,6 +16,7 @@ from duskline.plans import fixtures as fx
 from duskline.plans.catalog import query
 from duskline.plans.oracle_views import seeded, slot_of
 from duskline.plans.timeline_queries import annual_sql, lag_sql
+from duskline.sources.scratch import settle
 
 SEED = fx.SEED
 RATIOS = [1, 2, 4, 10]
@@ -184,19 +185,23 @@ def filled_rows(wide, metrics):
     return pj.drop_empty_rows(wide, cells, len(cells) - 1)
 
 
+def _wide(spark, sf, anchors, metrics, annual_cols):
+    p = fx.panel(spark, sf)
+    if annual_cols:
+        return ft.feature_rows(anchors, p, metrics, fx.annual(spark, sf), list(annual_cols))
+    return ft.lag_features(anchors, p, metrics)
+
+
 def event_rows(spark, sf, metrics, annual_cols=()):
     """Wide rows of the events with a non-empty window."""
-    wide = ft.lag_features(fx.events(spark, sf), fx.panel(spark, sf), metrics)
-    if annual_cols:
-        wide = ft.annual_features(wide, fx.annual(spark, sf), list(annual_cols))
+    anchors = settle(fx.events(spark, sf), "anchors")
+    wide = _wide(spark, sf, anchors, metrics, annual_cols)
     return filled_rows(wide, metrics).withColumn("status", F.lit(1))
 
 
 def control_rows(spark, sf, metrics, annual_cols=(), ratio=2):
-    wide = ft.lag_features(matched(spark, sf, ratio), fx.panel(spark, sf), metrics)
-    if annual_cols:
-        wide = ft.annual_features(wide, fx.annual(spark, sf), list(annual_cols))
-    return wide.withColumn("status", F.lit(0))
+    anchors = settle(matched(spark, sf, ratio), "anchors")
+    return _wide(spark, sf, anchors, metrics, annual_cols).withColumn("status", F.lit(0))
 
 
 def case_control(spark, sf, ratio=2):
@@ -204,9 +209,7 @@ def case_control(spark, sf, ratio=2):
     anchors = fx.events(spark, sf).withColumn("status", F.lit(1)).unionByName(
         matched(spark, sf, ratio).withColumn("status", F.lit(0))
     )
-    wide = ft.feature_rows(
-        anchors, fx.panel(spark, sf), fx.METRICS, fx.annual(spark, sf), fx.ANNUAL
-    )
+    wide = _wide(spark, sf, settle(anchors, "anchors"), fx.METRICS, fx.ANNUAL)
     return filled_rows(wide, fx.METRICS)
 
 
@@ -300,9 +303,8 @@ MS AS (SELECT *, 0 AS status FROM MR),
 GC AS ({lag_sql('MS', ['n'], ['ratio', 'id', 'event', 'status'])})""",
 )
 def ratio_sets(spark, sf):
-    controls = ft.lag_features(
-        matched_ratios(spark, sf).withColumn("status", F.lit(0)), fx.panel(spark, sf), ["n"]
-    )
+    anchors = settle(matched_ratios(spark, sf).withColumn("status", F.lit(0)), "anchors")
+    controls = ft.lag_features(anchors, fx.panel(spark, sf), ["n"])
     return ds.ratio_sets(controls, event_rows(spark, sf, ["n"]), RATIOS, fx.TEST_YEAR)
 
 

@@ -8,6 +8,7 @@ from duskline.functions.dates import known_year
 from duskline.operators import features as ft, profiles as pr, projection as pj, timeline as tl
 from duskline.plans import fixtures as fx
 from duskline.plans.catalog import query
+from duskline.sources.scratch import settle
 
 
 @query("event_dates", "SELECT id, event FROM E")
@@ -54,7 +55,8 @@ LEFT JOIN A ON A.id = X.id AND A.year = {KNOWN_SQL}"""
 
 @query("annual_features", annual_sql("E", fx.ANNUAL))
 def annual_features(spark, sf):
-    return ft.annual_features(fx.events(spark, sf), fx.annual(spark, sf), fx.ANNUAL)
+    anchors = settle(fx.events(spark, sf), "anchors")
+    return ft.annual_features(anchors, fx.annual(spark, sf), fx.ANNUAL)
 
 
 def lag_sql(anchors: str, metrics: list[str], keys: list[str] = ("id", "event"), src="P") -> str:
@@ -72,7 +74,8 @@ GROUP BY {names}"""
 
 @query("lag_features", lag_sql("E", fx.METRICS))
 def lag_features(spark, sf):
-    return ft.lag_features(fx.events(spark, sf), fx.panel(spark, sf), fx.METRICS)
+    anchors = settle(fx.events(spark, sf), "anchors")
+    return ft.lag_features(anchors, fx.panel(spark, sf), fx.METRICS)
 
 
 def _dense_lag_sql(metrics: list[str]) -> str:
@@ -99,8 +102,9 @@ WHERE {" + ".join(f"(coalesce({m}_M_{i}, 0) <> 0)::INT" for m in fx.METRICS for
 )
 def feature_rows(spark, sf):
     cells = ft.lag_names(fx.METRICS)
+    anchors = settle(fx.events(spark, sf), "anchors")
     wide = ft.feature_rows(
-        fx.events(spark, sf), fx.panel(spark, sf), fx.METRICS, fx.annual(spark, sf), fx.ANNUAL, 1
+        anchors, fx.panel(spark, sf), fx.METRICS, fx.annual(spark, sf), fx.ANNUAL, 1
     )
     return pj.drop_empty_rows(wide, cells, len(cells) - 1)
 
