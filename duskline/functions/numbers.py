@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 
@@ -24,17 +22,26 @@ def share(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def is_blank(c: str) -> Column:
-    """Null or zero."""
-    return F.coalesce(F.col(c).cast("double"), F.lit(0.0)) == 0
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _count_cells(cols: list[str], blank: int, filled: int) -> Column:
+    # One expression text instead of one call into the JVM per cell: wide rows have hundreds.
+    cells = (
+        f"CASE WHEN coalesce(CAST({quoted(c)} AS DOUBLE), 0D) = 0D THEN {blank} ELSE {filled} END"
+        for c in cols
+    )
+    return F.expr(" + ".join(cells) or "0")
 
 
 def blank_cells(cols: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.when(is_blank(c), 1).otherwise(0) for c in cols], F.lit(0))
+    """Null or zero cells per row."""
+    return _count_cells(cols, 1, 0)
 
 
 def filled_cells(cols: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.when(is_blank(c), 0).otherwise(1) for c in cols], F.lit(0))
+    return _count_cells(cols, 0, 1)
 
 
 def row_check(pred: Column) -> Column:

@@ -6,17 +6,19 @@ one anchor are bounded by the window length however uneven the raw data was.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from duskline.functions.dates import anchor_month, known_year, lag_months
-from duskline.functions.numbers import is_blank
+from duskline.functions.numbers import filled_cells, quoted
 
 LAGS = 12
 GAP = 3
 
 
+def _zero_if_null(value: str, name: str) -> str:
+    return f"coalesce(CAST({quoted(value)} AS DOUBLE), 0D) AS {quoted(name)}"
+
+
 def lag_names(metrics: list[str], n: int = LAGS) -> list[str]:
     return [f"{m}_M_{i}" for m in metrics for i in range(1, n + 1)]
 
@@ -42,9 +44,11 @@ def _window_rows(anchors: DataFrame, panel: DataFrame, metrics: list[str], n: in
     found = anchors.join(p, in_window).select(
         *keys, lag_months("event", "_period", gap).alias("_lag"), *metrics
     )
-    types = {f.name: f.dataType for f in p.schema.fields}
-    empty = [F.lit(None).cast(types[m]).alias(m) for m in metrics]
-    return found.unionByName(anchors.select(*keys, F.lit(None).cast("int").alias("_lag"), *empty))
+    types = {f.name: f.dataType.simpleString() for f in p.schema.fields}
+    empty = [f"CAST(NULL AS {types[m]}) AS {quoted(m)}" for m in metrics]
+    return found.unionByName(
+        anchors.selectExpr(*map(quoted, keys), "CAST(NULL AS INT) AS _lag", *empty)
+    )
 
 
 def lag_features(
@@ -63,23 +67,19 @@ def lag_features(
         .agg(*[F.first(m, ignorenulls=True).alias(m) for m in metrics])
     )
     cells = [
-        F.coalesce(F.col(f"{i}_{m}" if len(metrics) > 1 else f"{i}").cast("double"), F.lit(0.0))
-        .alias(f"{m}_M_{i}")
+        _zero_if_null(f"{i}_{m}" if len(metrics) > 1 else f"{i}", f"{m}_M_{i}")
         for m in metrics
         for i in range(1, n + 1)
     ]
-    return wide.select(*keys, *cells)
+    return wide.selectExpr(*map(quoted, keys), *cells)
 
 
 def filled_lag_cells(
     anchors: DataFrame, panel: DataFrame, metrics: list[str], n: int = LAGS, gap: int = GAP
 ) -> DataFrame:
     """Number of non-zero lag cells per anchor, without building the wide row."""
-    one = reduce(
-        lambda a, b: a + b, [F.when(is_blank(m), 0).otherwise(1) for m in metrics], F.lit(0)
-    )
     rows = _window_rows(anchors, panel, metrics, n, gap)
-    return rows.groupBy(*anchors.columns).agg(F.sum(one).cast("int").alias("filled"))
+    return rows.groupBy(*anchors.columns).agg(F.sum(filled_cells(metrics)).cast("int").alias("filled"))
 
 
 def lag_features_dense(
@@ -94,13 +94,13 @@ def lag_features_dense(
     months = F.sequence(span["a"], span["b"], F.expr("interval 1 month"))
     calendar = panel.select("id").distinct().select("id", F.explode(months).alias("period"))
     dense = calendar.join(panel.select("id", "period", *metrics), ["id", "period"], "left")
-    w = Window.partitionBy("id").orderBy("period")
     cells = [
-        F.coalesce(F.lag(m, i + gap - 1).over(w).cast("double"), F.lit(0.0)).alias(f"{m}_M_{i}")
+        f"coalesce(CAST(lag({quoted(m)}, {i + gap - 1}) OVER (PARTITION BY id ORDER BY period)"
+        f" AS DOUBLE), 0D) AS {quoted(f'{m}_M_{i}')}"
         for m in metrics
         for i in range(1, n + 1)
     ]
-    return dense.select("id", F.col("period").alias("event"), *cells)
+    return dense.selectExpr("id", "period AS event", *cells)
 
 
 def annual_features(
@@ -117,8 +117,8 @@ def annual_features(
         asked.select(*on).distinct(), on, "left_semi"
     )
     joined = asked.join(known, on, "left")
-    cells = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"{c}_Y_1") for c in cols]
-    return joined.select(*anchors.columns, *cells)
+    cells = [_zero_if_null(c, f"{c}_Y_1") for c in cols]
+    return joined.selectExpr(*map(quoted, anchors.columns), *cells)
 
 
 def feature_rows(

@@ -37,7 +37,7 @@ def _scan_counts(df):
     return df.groupBy(F.year(d.parse_period("DATE")).alias("year")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.countDistinct("id").alias("ids"),
-        F.sum(fx.money("o_totalprice")).cast("double").alias("total"),
+        fx.money_sum("o_totalprice").alias("total"),
     )
 
 

@@ -93,11 +93,11 @@ def importance_matrix_query(spark, sf):
 def ratio_sweep(spark, sf):
     """Class ratios x thresholds x test months, as rows of kept metrics."""
     ratios = [1, 4]
-    p = fx.panel(spark, sf)
+    p = settle(fx.panel(spark, sf), "panel")
     names = ft.lag_names(fx.METRICS)
-    anchors = matched_ratios(spark, sf, ratios).withColumn("status", F.lit(0))
+    anchors = matched_ratios(spark, sf, ratios, p).withColumn("status", F.lit(0))
     controls = ft.lag_features(settle(anchors, "anchors"), p, fx.METRICS)
-    events = event_rows(spark, sf, fx.METRICS)
+    events = event_rows(spark, sf, p, fx.METRICS)
     many = F.explode(F.array(*[F.lit(r) for r in ratios]))
     rows = controls.unionByName(events.withColumn("ratio", many))
     rows = fr.prepare(rows, names, ["ratio", "id", "event", "status"], "ratios")

@@ -135,9 +135,9 @@ MATCHED = match_sql("MC", "2", seeded("'101'", "H.id"))
 MATCHED_RATIOS = match_sql("MR", "ratio", seeded("'101'", "ratio", "H.id"), "ratio")
 
 
-def matched(spark, sf, ratio: int = 2):
+def matched(spark, sf, ratio: int = 2, p=None):
     """Controls at ``ratio`` per event whose window is not empty."""
-    p = fx.panel(spark, sf)
+    p = fx.panel(spark, sf) if p is None else p
     quotas = sp.control_quotas(fx.events(spark, sf), ratio)
     return sp.match_controls(
         fx.healthy(spark, sf),
@@ -147,8 +147,8 @@ def matched(spark, sf, ratio: int = 2):
     )
 
 
-def matched_ratios(spark, sf, ratios=RATIOS):
-    p = fx.panel(spark, sf)
+def matched_ratios(spark, sf, ratios=RATIOS, p=None):
+    p = fx.panel(spark, sf) if p is None else p
     many = F.explode(F.array(*[F.lit(r) for r in ratios]))
     events = fx.events(spark, sf).withColumn("ratio", many)
     quotas = sp.control_quotas(events, F.col("ratio"), ["ratio"])
@@ -185,32 +185,32 @@ def filled_rows(wide, metrics):
     return pj.drop_empty_rows(wide, cells, len(cells) - 1)
 
 
-def _wide(spark, sf, anchors, metrics, annual_cols):
-    p = fx.panel(spark, sf)
+def _wide(spark, sf, p, anchors, metrics, annual_cols):
+    anchors = settle(anchors, "anchors")
     if annual_cols:
-        return ft.feature_rows(anchors, p, metrics, fx.annual(spark, sf), list(annual_cols))
+        annual = fx.annual(spark, sf, p)
+        return ft.feature_rows(anchors, p, metrics, annual, list(annual_cols))
     return ft.lag_features(anchors, p, metrics)
 
 
-def event_rows(spark, sf, metrics, annual_cols=()):
+def event_rows(spark, sf, p, metrics, annual_cols=()):
     """Wide rows of the events with a non-empty window."""
-    anchors = settle(fx.events(spark, sf), "anchors")
-    wide = _wide(spark, sf, anchors, metrics, annual_cols)
+    wide = _wide(spark, sf, p, fx.events(spark, sf), metrics, annual_cols)
     return filled_rows(wide, metrics).withColumn("status", F.lit(1))
 
 
-def control_rows(spark, sf, metrics, annual_cols=(), ratio=2):
-    anchors = settle(matched(spark, sf, ratio), "anchors")
-    return _wide(spark, sf, anchors, metrics, annual_cols).withColumn("status", F.lit(0))
+def control_rows(spark, sf, p, metrics, annual_cols=(), ratio=2):
+    wide = _wide(spark, sf, p, matched(spark, sf, ratio, p), metrics, annual_cols)
+    return wide.withColumn("status", F.lit(0))
 
 
 def case_control(spark, sf, ratio=2):
     """Events and matched controls as anchors, widened together in one pass."""
+    p = fx.settled_panel(spark, sf)
     anchors = fx.events(spark, sf).withColumn("status", F.lit(1)).unionByName(
-        matched(spark, sf, ratio).withColumn("status", F.lit(0))
+        matched(spark, sf, ratio, p).withColumn("status", F.lit(0))
     )
-    wide = _wide(spark, sf, settle(anchors, "anchors"), fx.METRICS, fx.ANNUAL)
-    return filled_rows(wide, fx.METRICS)
+    return filled_rows(_wide(spark, sf, p, anchors, fx.METRICS, fx.ANNUAL), fx.METRICS)
 
 
 _ANY = " + ".join(f"(coalesce({m}, 0) <> 0)::INT" for m in fx.METRICS)
@@ -229,8 +229,9 @@ AN AS (SELECT id, event, 1 AS status FROM EK UNION ALL SELECT id, event, 0 FROM
 )
 def combine_classes(spark, sf):
     """Stacked classes; the event rows still carry a column the controls lack."""
-    e = event_rows(spark, sf, fx.METRICS, fx.ANNUAL).withColumn("only_events", F.lit(1))
-    return ds.combine_classes(e, control_rows(spark, sf, fx.METRICS, fx.ANNUAL))
+    p = fx.settled_panel(spark, sf)
+    e = event_rows(spark, sf, p, fx.METRICS, fx.ANNUAL).withColumn("only_events", F.lit(1))
+    return ds.combine_classes(e, control_rows(spark, sf, p, fx.METRICS, fx.ANNUAL))
 
 
 @query(
@@ -287,9 +288,9 @@ HD AS (SELECT id, event, {_LAG_N}, 0 AS status FROM DL WHERE {" + ".join(f"n_M_{
 )
 def monthly_sets(spark, sf):
     """Every customer at every month against the events of that calendar month."""
-    dense = ft.lag_features_dense(fx.panel(spark, sf), ["n"])
-    healthy = filled_rows(dense, ["n"]).withColumn("status", F.lit(0))
-    return ds.monthly_sets(healthy, event_rows(spark, sf, ["n"]), fx.TEST_YEAR)
+    p = fx.panel(spark, sf)
+    healthy = filled_rows(ft.lag_features_dense(p, ["n"]), ["n"]).withColumn("status", F.lit(0))
+    return ds.monthly_sets(healthy, event_rows(spark, sf, p, ["n"]), fx.TEST_YEAR)
 
 
 @query(
@@ -303,9 +304,11 @@ MS AS (SELECT *, 0 AS status FROM MR),
 GC AS ({lag_sql('MS', ['n'], ['ratio', 'id', 'event', 'status'])})""",
 )
 def ratio_sets(spark, sf):
-    anchors = settle(matched_ratios(spark, sf).withColumn("status", F.lit(0)), "anchors")
-    controls = ft.lag_features(anchors, fx.panel(spark, sf), ["n"])
-    return ds.ratio_sets(controls, event_rows(spark, sf, ["n"]), RATIOS, fx.TEST_YEAR)
+    p = settle(fx.panel(spark, sf), "panel")
+    controls = _wide(spark, sf, p, matched_ratios(spark, sf, p=p), ["n"], ()).withColumn(
+        "status", F.lit(0)
+    )
+    return ds.ratio_sets(controls, event_rows(spark, sf, p, ["n"]), RATIOS, fx.TEST_YEAR)
 
 
 @query(
