@@ -34,6 +34,8 @@ class ForestParams:
     depth: int = 15
     row_share: float = 0.632
     seed: int = 101
+    # More split statistics per pass over the rows means fewer passes for wide rows.
+    memory_mb: int = 1024
 
     def classifier(self, n_features: int, label: str, weight: str | None) -> RandomForestClassifier:
         forest = RandomForestClassifier(
@@ -46,6 +48,7 @@ class ForestParams:
             subsamplingRate=self.row_share,
             bootstrap=False,
             seed=self.seed,
+            maxMemoryInMB=self.memory_mb,
         )
         return forest.setWeightCol(weight) if weight else forest
 

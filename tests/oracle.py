@@ -20,12 +20,8 @@ def _plain(t) -> str:
     return str(t).replace("large_", "")
 
 
-def _rounded(table: str, schema) -> str:
-    cells = [
-        f'round("{f.name}", 6) AS "{f.name}"' if str(f.type) == "double" else f'"{f.name}"'
-        for f in sorted(schema, key=lambda f: f.name)
-    ]
-    return f"SELECT {', '.join(cells)} FROM {table}"
+def _sorted_columns(table: str, schema) -> str:
+    return f"SELECT {', '.join(f'"{n}"' for n in sorted(schema.names))} FROM {table}"
 
 
 def compare(df, con, sql) -> str | None:
@@ -45,7 +41,7 @@ def compare(df, con, sql) -> str | None:
         return f"rows {a.num_rows} != {b.num_rows}"
     con.register("spark_rows", a)
     con.register("sql_rows", b)
-    x, y = _rounded("spark_rows", a.schema), _rounded("sql_rows", b.schema)
+    x, y = _sorted_columns("spark_rows", a.schema), _sorted_columns("sql_rows", b.schema)
     diff = con.sql(f"({x}) EXCEPT ALL ({y})").limit(2).fetchall()
     if diff:
         other = con.sql(f"({y}) EXCEPT ALL ({x})").limit(2).fetchall()

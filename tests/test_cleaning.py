@@ -195,3 +195,25 @@ def test_healthy_pool_scopes(spark):
     assert rows(ex.healthy_pool(ids, events, "ever"), "id") == [(3,)]
     assert rows(ex.healthy_pool(ids, events, "year"), "id") == [(2,), (3,)]
     assert rows(ex.healthy_pool(ids, events, "month"), "id") == [(1,), (3,)]
+
+
+def test_year_folders_are_pruned_and_parts_bounded(spark):
+    path = scratch_path(spark, "folders")
+    schema = T.StructType([T.StructField("K", T.LongType()), T.StructField("v", T.DoubleType())])
+    df = spark.range(90).select(
+        F.col("id").alias("K"), F.lit(1.5).alias("v"), (2015 + F.col("id") % 3).alias("year")
+    )
+    io.write_panel(df.coalesce(1), path, by=["year"], fmt="csv", max_records=10)
+    one = io.read_years(spark, path, schema, [2016])
+    assert one.count() == 30 and one.columns[0] == "id"
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    assert one.select("_metadata.file_path").distinct().count() == 3
+
+
+def test_results_are_written_per_model(spark):
+    path = scratch_path(spark, "results")
+    df = spark.createDataFrame([("a", 1, 0.5), ("b", 2, 0.7)], "model string, id int, score double")
+    for _ in range(2):
+        io.write_results(df, path, by=["model"])
+    assert rows(spark.read.parquet(path), "model", "id", "score") == rows(df)
