@@ -33,9 +33,17 @@ def _window_rows(anchors: DataFrame, panel: DataFrame, metrics: list[str], n: in
     An inner join lets either side be broadcast: with few anchors the panel is filtered
     where it lies and only the window rows move. The empty rows keep anchors that meet
     nothing, which an outer join would do only by shuffling the whole panel.
+
+    The months no anchor can reach are cut at the scan: a set for one test month reads
+    one year of the panel, by folder where it is stored in year folders.
     """
     keys = anchors.columns
-    p = panel.select(F.col("id").alias("_id"), F.col("period").alias("_period"), *metrics)
+    span = anchors.agg(F.struct(F.min("event").alias("a"), F.max("event").alias("b"))).scalar()
+    first, last = F.add_months(span["a"], 1 - gap - n), F.add_months(span["b"], -gap)
+    reached = panel.filter(F.col("period").between(first, last))
+    if "year" in panel.columns:
+        reached = reached.filter(F.col("year").between(F.year(first), F.year(last)))
+    p = reached.select(F.col("id").alias("_id"), F.col("period").alias("_period"), *metrics)
     in_window = (
         (F.col("id") == F.col("_id"))
         & (F.col("_period") <= anchor_month("event", gap))
@@ -56,8 +64,8 @@ def lag_features(
 ) -> DataFrame:
     """``<metric>_M_<i>`` for i = 1..n, counted back in calendar months from the anchor.
 
-    ``anchors`` has ``id``, ``event`` and any other key columns, and is read twice: settle
-    it if it is costly. Missing months are 0 and shift nothing.
+    ``anchors`` has ``id``, ``event`` and any other key columns, and is read three times:
+    settle it if it is costly. Missing months are 0 and shift nothing.
     """
     keys = anchors.columns
     wide = (

@@ -30,6 +30,7 @@ def take_seeded(
     ``n`` may be a column that is constant within the group. Digests are uniform, so a
     group falls into 2**cell_bits even cells. Counting the cells finds the one where the
     quota runs out; cells before it pass whole and only rows inside a cell are ranked.
+    ``df`` is read twice: settle it if it is costly.
     """
     limit = F.lit(n) if isinstance(n, int) else n
     by = list(by)
@@ -182,14 +183,14 @@ def match_controls(
     accepted controls are widened later. A month that falls short stays short:
     see ``control_shortfall``.
 
-    Counting the cells is the one pass over the panel. Its narrow result is settled,
-    because ranking reads it twice.
+    Counting the cells is the one pass over the panel. The dealt pool before it and its
+    narrow result are settled, because both are read more than once.
     """
     by = list(by)
     dealt = deal_controls(pool, quotas, seed, by)
     if filled is not None:
         dealt = settle(
-            filled(dealt).filter(F.col("filled") >= min_filled).drop("filled"), "accepted"
+            filled(settle(dealt, "dealt")).filter(F.col("filled") >= min_filled).drop("filled"), "accepted"
         )
     return take_seeded(dealt, [*by, "id"], F.col("quota"), seed, [*by, "event"]).drop("quota")
 

@@ -18,7 +18,7 @@ from duskline.operators.smote import smote
 from duskline.plans import fixtures as fx
 from duskline.plans.catalog import query
 from duskline.plans.oracle_views import seeded, slot_of
-from duskline.plans.sampling_queries import case_control, event_rows, matched_ratios
+from duskline.plans.sampling_queries import CASES, case_control, event_rows, matched_ratios
 from duskline.sources import panel_io as io
 from duskline.sources.scratch import scratch_path, settle
 
@@ -65,16 +65,20 @@ def tune_forest(spark, sf):
     return spark.createDataFrame(results, "columns int, child_rows int, log_loss double")
 
 
-@query("model_roundtrip")
+@query(
+    "model_roundtrip", "SELECT id, event, status, CAST(1 AS BOOLEAN) AS same FROM AN", CASES
+)
 def model_roundtrip(spark, sf):
-    """Scores of a model before saving and after loading."""
+    """Every case scored before saving and after loading: the scores are the same."""
     df = _train(spark, sf)
     model = fr.fit_forest(df, len(FEATURES), params=SMALL)
     path = scratch_path(spark, "model")
     io.save_model(model, path)
     before = fr.score(model, df, ["id", "event", "status"], "before")
     after = fr.score(io.load_model(path), df, ["id", "event"], "after")
-    return before.join(after, ["id", "event"])
+    return before.join(after, ["id", "event"]).select(
+        "id", "event", "status", (F.col("before") == F.col("after")).alias("same")
+    )
 
 
 @query("importance_matrix")

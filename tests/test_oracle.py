@@ -18,6 +18,6 @@ def test_every_query_is_known():
     assert set(ORACLES) <= set(QUERIES)
     without = set(QUERIES) - set(ORACLES)
     assert without == {
-        "forest_scores", "forest_weighted", "cross_scores", "tune_forest", "model_roundtrip",
-        "importance_matrix", "ratio_sweep", "month_models", "smote_folds",
+        "forest_scores", "forest_weighted", "cross_scores", "tune_forest", "importance_matrix",
+        "ratio_sweep", "month_models", "smote_folds",
     }

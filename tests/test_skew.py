@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from duskline.operators import features as ft, joins, sampling as sp, timeline as tl
+from duskline.sources.scratch import scratch_path, settle
 from tests.conftest import month, rows
 
 
@@ -64,3 +65,19 @@ def test_few_anchors_do_not_shuffle_the_panel(spark):
     plan = wide._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert wide.count() == 2
+
+
+def test_window_reads_only_the_reachable_years(spark):
+    path = scratch_path(spark, "yearly")
+    spark.range(120).select(
+        F.lit(1).cast("long").alias("id"),
+        F.add_months(F.lit(month("2010-01")), F.col("id").cast("int")).alias("period"),
+        F.col("id").cast("double").alias("v"),
+    ).withColumn("year", F.year("period")).write.partitionBy("year").parquet(path)
+    panel = spark.read.parquet(path)
+    anchors = settle(spark.createDataFrame([(1, month("2016-04"))], "id long, event date"))
+    wide = ft.lag_features(anchors, panel, ["v"])
+    row = wide.head()
+    assert [row[f"v_M_{i}"] for i in (1, 12)] == [72.0, 61.0]
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
