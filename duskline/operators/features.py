@@ -19,6 +19,10 @@ def _zero_if_null(value: str, name: str) -> str:
     return f"coalesce(CAST({quoted(value)} AS DOUBLE), 0D) AS {quoted(name)}"
 
 
+def _zero_if_null_of(struct: str, field: str, name: str) -> str:
+    return f"coalesce(CAST({struct}.{quoted(field)} AS DOUBLE), 0D) AS {quoted(name)}"
+
+
 def lag_names(metrics: list[str], n: int = LAGS) -> list[str]:
     return [f"{m}_M_{i}" for m in metrics for i in range(1, n + 1)]
 
@@ -129,6 +133,24 @@ def annual_features(
     return joined.selectExpr(*map(quoted, anchors.columns), *cells)
 
 
+def annual_features_dense(
+    rows: DataFrame, annual: DataFrame, cols: list[str], cutoff: int = 7
+) -> DataFrame:
+    """The annual block for rows that lie together by entity, as the dense lags do.
+
+    The few years of an entity travel as one map, so the join is on the entity alone and
+    the wide rows stay where they are. ``annual`` has one row per ``id`` and ``year``.
+    """
+    years = annual.groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("year", F.struct(*cols)))).alias("_years")
+    )
+    known = rows.join(years, "id", "left").withColumn(
+        "_known", F.try_element_at("_years", known_year("event", cutoff))
+    )
+    cells = [_zero_if_null_of("_known", c, f"{c}_Y_1") for c in cols]
+    return known.selectExpr(*map(quoted, rows.columns), *cells)
+
+
 def feature_rows(
     anchors: DataFrame,
     panel: DataFrame,

@@ -172,12 +172,23 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def monthly_sets(panel: DataFrame, rows: DataFrame, years: list[int], test_year: int) -> DataFrame:
-    """All companies at each calendar month of each year against that month's events."""
-    anchors = sp.anchors_fixed(ex.distinct_ids(panel), years, list(range(1, 13)))
-    active = panel.select("id", "year").distinct().withColumnRenamed("year", "_y")
-    here = (F.col("id") == F.col("_id")) & (F.year("event") == F.col("_y"))
-    anchors = anchors.join(active.withColumnRenamed("id", "_id"), here, "left_semi")
-    return ds.monthly_sets(healthy_rows(panel, anchors), shared(rows), test_year)
+    """All companies at each calendar month of each year against that month's events.
+
+    Nearly every company-month is an anchor here, so the dense lags serve them all from
+    one sort by company.
+    """
+    blocks = Blocks.of(panel, healthy=True)
+    lags = ft.lag_features_dense(panel, blocks.monthly).filter(F.year("event").isin(years))
+    active = panel.select("id", F.col("year").alias("_year")).distinct()
+    lags = (
+        lags.withColumn("_year", F.year("event"))
+        .join(active, ["id", "_year"], "left_semi")
+        .drop("_year")
+    )
+    wide = ft.annual_features_dense(lags, statements(panel, blocks), blocks.annual)
+    cells = blocks.features()
+    healthy = pj.drop_empty_rows(wide, cells, len(cells) - 1).withColumn("status", F.lit(0))
+    return ds.monthly_sets(healthy, shared(rows), test_year)
 
 
 def ratio_sets(

@@ -93,6 +93,18 @@ def lag_features_dense(spark, sf):
     return ft.lag_features_dense(fx.panel(spark, sf), ["n", "sales"])
 
 
+@query(
+    "annual_features_dense",
+    "SELECT G.id, G.event, n_M_1, sales_Y_1, qty_Y_1 FROM G JOIN B USING (id, event)",
+    f"G AS ({_dense_lag_sql(['n'])}), B AS ({annual_sql('G', ['sales', 'qty'])})",
+)
+def annual_features_dense(spark, sf):
+    """The last known month and year at every month of every customer with orders."""
+    p = fx.settled_panel(spark, sf)
+    dense = ft.lag_features_dense(p, ["n"]).select("id", "event", "n_M_1")
+    return ft.annual_features_dense(dense, fx.annual(spark, sf, p), ["sales", "qty"])
+
+
 @query(
     "feature_rows",
     f"""SELECT G.*, {", ".join(f"{c}_Y_1" for c in fx.ANNUAL)}, 1 AS status

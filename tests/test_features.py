@@ -65,3 +65,27 @@ def test_filled_count_matches_wide_row(spark):
     assert rows(ft.filled_lag_cells(a, p, ["v"]), "id", "filled") == rows(
         wide.select("id", nonzero.alias("filled"))
     )
+
+
+def test_dense_annual_equals_sparse(spark):
+    p = _panel(spark, ["2016-01", "2017-03", "2018-11"]).unionByName(_panel(spark, ["2017-06"], id=2))
+    annual = spark.createDataFrame(
+        [(1, y, float(y), None) for y in (2015, 2016, 2017)], "id long, year int, s double, t double"
+    )
+    dense = ft.lag_features_dense(p, ["v"])
+    a = ft.annual_features_dense(dense, annual, ["s", "t"])
+    b = ft.annual_features(dense, annual, ["s", "t"])
+    assert rows(a) == rows(b)
+
+
+def test_dense_rows_move_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        p = _panel(spark, ["2016-01", "2017-03", "2018-11"])
+        annual = spark.createDataFrame([(1, 2016, 1.0)], "id long, year int, s double")
+        wide = ft.annual_features_dense(ft.lag_features_dense(p, ["v"]), annual, ["s"])
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        above_window = plan[: plan.index("Window [")]
+        assert "Exchange" not in above_window
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
