@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from duskline.llm import decontaminate, language, licenses, linespread, mixing, secrets, simhash, spotsigs, urls  # noqa: F401
+from duskline.llm import decontaminate, language, licenses, linespread, mixing, secrets, simhash, spotsigs, surrogates, urls  # noqa: F401
 from duskline.llm.catalog import ORACLES, QUERIES
 
 
