@@ -83,24 +83,22 @@ def _with(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _scrambled(value: Column, digest: Column, keep_first: int = 0, keep_last: int = 0) -> Column:
-    """Every character replaced by one of its class."""
+def _scrambled(text: Column, digest: Column, keep_first: Column, keep_last: Column) -> Column:
+    """Every character but the kept ones replaced by one of its class. The arguments are lambda
+    variables or their fields, or they would be computed again for every character."""
 
-    def one(text, d, i):
+    def one(i):
         c = F.substr(text, i, F.lit(1))
-        new = c
-        for chars in CLASSES:
-            picked = F.substr(F.lit(chars), F.pmod(_number(d, i), F.lit(len(chars))) + 1, F.lit(1))
-            new = F.when(F.instr(F.lit(chars), c) > 0, picked).otherwise(new)
+        classes = F.filter(F.lit(CLASSES), lambda chars: F.contains(chars, c))
+        new = _with(
+            F.get(classes, F.lit(0)),
+            lambda chars: F.substr(chars, F.pmod(_number(digest, i), F.length(chars)) + 1, F.lit(1)),
+        )
         kept = (i <= keep_first) | (i > F.length(text) - keep_last)
-        return F.when(kept, c).otherwise(new)
+        return F.when(kept, c).otherwise(F.coalesce(new, c))
 
-    # Both are bound to lambda variables, or they would be computed again for every character.
-    whole_value = lambda x: F.array_join(
-        F.transform(F.sequence(F.lit(1), F.length(x["t"])), lambda i: one(x["t"], x["d"], i)), ""
-    )
-    made = _with(F.struct(value.alias("t"), digest.alias("d")), whole_value)
-    return F.when(F.length(value) > 0, made).otherwise("")
+    made = F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")
+    return F.when(F.length(text) > 0, made).otherwise("")
 
 
 def _luhn(digits: Column) -> Column:
@@ -112,29 +110,46 @@ def _luhn(digits: Column) -> Column:
 
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) -> Column:
     """The replacement of an entity, as a function of key, kind, entity and attempt."""
-    d = _digest(key, kind, entity, attempt.cast("string"))
-    more = F.substr(
-        F.translate(F.substr(d, F.lit(100), F.lit(28)), "abcdef", "012345"), F.lit(1),
-        F.greatest(F.lit(0), F.floor(attempt / LONGER)).cast("int"),
-    )
-    local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    site = F.substr(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    email = F.concat(
-        _scrambled(local, d), more, F.lit("@"), _scrambled(site, _digest(key, F.lit("site"), domain)), F.lit("."), top
-    )
-    octets = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_number(d, i) % 254 + 1).cast("string"))
-    phone = F.concat(F.when(entity.startswith("+"), _scrambled(entity, d, keep_first=2)).otherwise(_scrambled(entity, d)), more)
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ip", F.array_join(octets, "."))
-        .when(kind == "phone", phone)
-        .when(kind == "card", F.concat(_luhn(_scrambled(entity, d, keep_first=1)), more))
-        .when(kind == "iban", F.concat(_scrambled(entity, d, keep_first=2), more))
-        .when(kind == "name", F.concat(_scrambled(entity, d, keep_last=1), F.translate(more, "0123456789", "aeiounrstl")))
-        .otherwise(F.concat(_scrambled(entity, d), more))
+    is_email = kind == "email"
+    first = F.when(kind == "card", 1).when((kind == "iban") | entity.startswith("+"), 2).otherwise(0)
+    given = F.struct(
+        kind.alias("k"),
+        entity.alias("e"),
+        attempt.alias("a"),
+        _digest(key, kind, entity, attempt.cast("string")).alias("d"),
+        F.when(is_email, F.substring_index(entity, "@", 1)).otherwise(entity).alias("t"),
+        F.when(is_email, F.substring_index(entity, "@", -1)).alias("domain"),
+        first.alias("first"),
+        F.when(kind == "name", 1).otherwise(0).alias("last"),
     )
 
+    def extended(x):
+        digits = F.translate(F.substr(x["d"], F.lit(100), F.lit(28)), "abcdef", "012345")
+        more = F.substr(digits, F.lit(1), F.floor(x["a"] / LONGER).cast("int"))
+        return F.struct(
+            x["k"].alias("k"), x["d"].alias("d"), more.alias("more"), x["domain"].alias("domain"),
+            _scrambled(x["t"], x["d"], x["first"], x["last"]).alias("m"),
+        )
+
+    def site(x):
+        top = F.substring_index(x["domain"], ".", -1)
+        name = F.substr(x["domain"], F.lit(1), F.length(x["domain"]) - F.length(top) - 1)
+        parts = F.struct(name.alias("t"), _digest(key, F.lit("site"), x["domain"]).alias("d"))
+        made = _with(parts, lambda y: _scrambled(y["t"], y["d"], F.lit(0), F.lit(0)))
+        return F.concat(made, F.lit("."), top)
+
+    def by_kind(x):
+        octets = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_number(x["d"], i) % 254 + 1).cast("string"))
+        return (
+            F.when(x["k"] == "ip", F.array_join(octets, "."))
+            .when(x["k"] == "email", F.concat(x["m"], x["more"], F.lit("@"), site(x)))
+            .when(x["k"] == "card", F.concat(_luhn(x["m"]), x["more"]))
+            .when(x["k"] == "name", F.concat(x["m"], F.translate(x["more"], "0123456789", "aeiounrstl")))
+            .otherwise(F.concat(x["m"], x["more"]))
+        )
+
+    return _with(_with(given, extended), by_kind)
+
 
 def _given_names(key: str) -> dict[str, str]:
     """Each given name's successor in a keyed circle of its list: distinct names stay distinct."""
