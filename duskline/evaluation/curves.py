@@ -1,7 +1,8 @@
-"""Threshold choice and curves from score histograms.
+"""Threshold choice on a grid, and exact curves.
 
-Scores are reduced to a histogram per model before anything cumulative happens, so the
-windows below run over at most 101 or 10,001 rows per model, whatever the data size.
+A threshold is chosen among 101 grid points, so its histogram is small. Curves, areas and
+equal error rates are those of the scores themselves: equal scores are one point, and running
+counts are summed in ranges of scores, so no window holds a whole model.
 """
 
 from __future__ import annotations
@@ -9,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duskline.functions.numbers import share
+from duskline.operators.joins import null_safe
+from duskline.sources.scratch import settle
 
 GRID = 100
-FINE = 10_000
 
 
 def grid_cell(score: Column, steps: int) -> Column:
@@ -33,19 +35,43 @@ def histogram(scores: DataFrame, steps: int, by: list[str]) -> DataFrame:
     )
 
 
-def _cumulative(hist: DataFrame, by: list[str]) -> DataFrame:
-    """Counts at or above each cell, and class totals."""
-    above = Window.partitionBy(*by).orderBy(F.col("cell").desc())
-    total = Window.partitionBy(*by)
-    return hist.select(
+def _cumulative(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Per distinct score: its counts, the counts at or above it, and class totals.
+
+    Distinct scores are dealt to ranges and written. The totals of the ranges, one row per range
+    and model, give each range the counts above it; the rest is a window inside the range.
+    """
+    points = scores.groupBy(*by, "score").agg(
+        F.count_if(F.col("target") == 1).alias("p"), F.count_if(F.col("target") == 0).alias("n")
+    )
+    ranged = points.repartitionByRange(*by, "score").withColumn("_range", F.spark_partition_id())
+    ranged = settle(ranged, "score_ranges")
+    above = Window.partitionBy(*by).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    model = Window.partitionBy(*by)
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    sums = sums.select(
         *by,
-        "cell",
-        "p",
-        "n",
-        F.sum("p").over(above).alias("tp"),
-        F.sum("n").over(above).alias("fp"),
-        F.sum("p").over(total).alias("pos"),
-        F.sum("n").over(total).alias("neg"),
+        "_range",
+        F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_tp"),
+        F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_fp"),
+        F.sum("_p").over(model).alias("pos"),
+        F.sum("_n").over(model).alias("neg"),
+    )
+    on = [*by, "_range"]
+    inside = Window.partitionBy(*[F.col(f"_l.{c}") for c in on]).orderBy(F.col("score").desc())
+    return (
+        ranged.alias("_l")
+        .join(sums.alias("_r"), null_safe(on, "_l", "_r"))
+        .select(
+            *[F.col(f"_l.{c}") for c in by],
+            "score",
+            "p",
+            "n",
+            (F.sum("p").over(inside) + F.col("_tp")).alias("tp"),
+            (F.sum("n").over(inside) + F.col("_fp")).alias("fp"),
+            "pos",
+            "neg",
+        )
     )
 
 
@@ -112,19 +138,19 @@ def mean_threshold(best: DataFrame) -> DataFrame:
 
 
 def roc_curve(scores: DataFrame, by: list[str] = ("model",)) -> DataFrame:
-    """Points (fpr, tpr) at every occupied score cell."""
-    c = _cumulative(histogram(scores, FINE, list(by)), list(by))
+    """Points (fpr, tpr) at every distinct score."""
+    c = _cumulative(scores, list(by))
     return c.select(
         *by,
-        "cell",
+        "score",
         F.round(share(F.col("fp"), F.col("neg")), 6).alias("fpr"),
         F.round(share(F.col("tp"), F.col("pos")), 6).alias("tpr"),
     )
 
 
 def auc(scores: DataFrame, by: list[str] = ("model",)) -> DataFrame:
-    """Area under the ROC points by trapezoids; scores in one cell count as tied."""
-    c = _cumulative(histogram(scores, FINE, list(by)), list(by))
+    """Area under the ROC points by trapezoids; equal scores count half."""
+    c = _cumulative(scores, list(by))
     wins = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0))
     return c.groupBy(*by).agg(
         F.round(share(wins, F.max(F.col("pos").cast("double") * F.col("neg"))), 6).alias("auc")
@@ -132,11 +158,11 @@ def auc(scores: DataFrame, by: list[str] = ("model",)) -> DataFrame:
 
 
 def det_curve(scores: DataFrame, by: list[str] = ("model",)) -> DataFrame:
-    """Points (fpr, fnr) at every occupied score cell."""
-    c = _cumulative(histogram(scores, FINE, list(by)), list(by))
+    """Points (fpr, fnr) at every distinct score."""
+    c = _cumulative(scores, list(by))
     return c.select(
         *by,
-        "cell",
+        "score",
         F.round(share(F.col("fp"), F.col("neg")), 6).alias("fpr"),
         F.round(share(F.col("pos") - F.col("tp"), F.col("pos")), 6).alias("fnr"),
     )
@@ -145,25 +171,25 @@ def det_curve(scores: DataFrame, by: list[str] = ("model",)) -> DataFrame:
 def eer(scores: DataFrame, by: list[str] = ("model",)) -> DataFrame:
     """Error rate where fpr and fnr are closest; the highest threshold wins a tie."""
     gap = F.round(F.abs(F.col("fpr") - F.col("fnr")), 6)
-    least = F.min(F.struct(gap.alias("gap"), (-F.col("cell")).alias("c"), "fpr", "fnr"))
+    least = F.min(F.struct(gap.alias("gap"), (-F.col("score")).alias("c"), "fpr", "fnr"))
     return (
         det_curve(scores, by)
         .groupBy(*by)
         .agg(least.alias("_m"))
         .select(
             *by,
-            F.round(-F.col("_m.c") / F.lit(float(FINE)), 4).alias("threshold"),
+            (-F.col("_m.c")).alias("threshold"),
             F.round((F.col("_m.fpr") + F.col("_m.fnr")) / 2, 6).alias("eer"),
         )
     )
 
 
 def pr_curve(scores: DataFrame, by: list[str] = ("model",)) -> DataFrame:
-    """Points (recall, precision) at every occupied score cell."""
-    c = _cumulative(histogram(scores, FINE, list(by)), list(by))
+    """Points (recall, precision) at every distinct score."""
+    c = _cumulative(scores, list(by))
     return c.select(
         *by,
-        "cell",
+        "score",
         F.round(share(F.col("tp"), F.col("pos")), 6).alias("recall"),
         F.round(share(F.col("tp"), F.col("tp") + F.col("fp")), 6).alias("precision"),
     )

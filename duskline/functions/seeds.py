@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-SLOT_BITS = 32
+SLOT_BITS = 60
 
 
 def digest(seed: int | str | Column, *keys: Column | str) -> Column:
@@ -19,14 +19,10 @@ def digest(seed: int | str | Column, *keys: Column | str) -> Column:
 
 
 def slot(m: Column) -> Column:
-    """First eight hex digits of a digest as a number below 2**32."""
-    return F.conv(F.substring(m, 1, 8), 16, 10).cast("long")
+    """First fifteen hex digits of a digest as a number below 2**60: far beyond any row count,
+    so that a remainder reaches every place of a long line."""
+    return F.conv(F.substring(m, 1, SLOT_BITS // 4), 16, 10).cast("long")
 
 
 def seeded_bucket(k: int, seed: int | str, *keys: Column | str) -> Column:
     return (slot(digest(seed, *keys)) % k).cast("int")
-
-
-def seeded_unit(seed: int | str, *keys: Column | str) -> Column:
-    """Uniform number in [0, 1)."""
-    return slot(digest(seed, *keys)) / F.lit(float(2**SLOT_BITS))

@@ -26,12 +26,12 @@ from duskline.sources.scratch import settle
 class ForestParams:
     """200 trees, 50 columns tried per split, 63.2% of the rows per tree
     without replacement. A node of fewer than 100 rows was not split; MLlib bounds the
-    children instead, hence 50. Depth is bounded for memory."""
+    children instead, hence 50. The depth is the largest MLlib has."""
 
     trees: int = 200
     columns: int = 50
     min_child_rows: int = 50
-    depth: int = 15
+    depth: int = 30
     row_share: float = 0.632
     seed: int = 101
     # More split statistics per pass over the rows means fewer passes for wide rows.
@@ -84,8 +84,8 @@ def fit_weighted(
 
 def score(model: PipelineModel, df: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
     """Probability of the event."""
-    p = vector_to_array("probability")[1].alias(name)
-    return model.transform(df).select(*keep, p)
+    p = F.get(vector_to_array("probability"), F.lit(1))  # a model of one class has no such place
+    return model.transform(df).select(*keep, F.coalesce(p, F.lit(0.0)).alias(name))
 
 
 def tune_forest(
@@ -119,7 +119,7 @@ def tune_forest(
         parallelism=parallelism,
         seed=params.seed,
     )
-    fitted = search.fit(assign_folds(df, folds, params.seed, list(key)))
+    fitted = search.fit(assign_folds(df, folds, params.seed, list(key), label=label))
     results = [
         {
             "columns": int(p[forest.featureSubsetStrategy]),
@@ -146,7 +146,10 @@ def cross_scores(
     ``rebalance`` changes the training part only (class synthesis, downsampling), so no
     derived row can reach the fold it is validated on.
     """
-    folded = assign_folds(df, k, params.seed, list(key))
+    smallest = df.groupBy(label).count().agg(F.min("count").alias("n"), F.count("*").alias("classes")).first()
+    if smallest["classes"] < 2 or smallest["n"] < 2:
+        raise ValueError(f"every training part needs two classes, the smallest class has {smallest['n']} rows")
+    folded = settle(assign_folds(df, k, params.seed, list(key), label=label), "folded")
     models, scored = [], None
     for fold in range(k):
         train, validate = fold_split(folded, fold)

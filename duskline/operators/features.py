@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from duskline.functions.dates import anchor_month, known_year, lag_months
 from duskline.functions.numbers import filled_cells, quoted
+from duskline.operators.joins import null_safe
 
 LAGS = 12
 GAP = 3
@@ -169,7 +170,11 @@ def feature_rows(
     """
     lags = lag_features(anchors, panel, metrics, n, gap)
     block = annual_features(anchors, annual, annual_cols, cutoff)
-    wide = lags.join(block, anchors.columns)
+    # An anchor whose further key columns are null must meet itself.
+    keys = anchors.columns
+    wide = lags.alias("_l").join(block.alias("_r"), null_safe(keys, "_l", "_r")).select(
+        "_l.*", *[F.col(f"_r.{quoted(c)}") for c in annual_names(annual_cols)]
+    )
     if status is not None:
         wide = wide.withColumn("status", F.lit(status))
     return wide

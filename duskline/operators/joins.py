@@ -11,26 +11,16 @@ def salted_join(
     """Equi-join on ``on`` with each key of ``big`` spread over ``salts`` tasks.
 
     ``small`` is unique on ``on`` and is repeated once per salt; ``spread`` names columns
-    of ``big`` that differ within a key.
+    of ``big`` that differ within a key. Null meets null. Settle ``small``, and Spark
+    broadcasts it where its size allows.
     """
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-def guarded_lookup(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    spread: list[str],
-    broadcast_rows: int = 100_000,
-    salts: int = 16,
-) -> DataFrame:
-    """Left join with a settled lookup table: broadcast if its counted size allows, salted
-    otherwise."""
-    if small.count() <= broadcast_rows:
-        return big.join(F.broadcast(small), on, "left")
-    return salted_join(big, small, on, spread, salts)
+    cond = null_safe(on, "_l", "_r") & (F.col("_l._salt") == F.col("_r._salt"))
+    joined = big.withColumn("_salt", salt).alias("_l").join(copies.alias("_r"), cond, how)
+    return joined.select(
+        *[F.col(f"_l.{c}") for c in big.columns], *[F.col(f"_r.{c}") for c in small.columns if c not in on]
+    )
 
 
 def null_safe(names: list[str], left: str, right: str) -> Column:

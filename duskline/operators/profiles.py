@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
 from duskline.functions.numbers import share
@@ -42,38 +42,44 @@ def risk_rank(risk: DataFrame, parts: int = 50) -> DataFrame:
 
 
 def class_calendar(
-    df: DataFrame, years: list[int], event: str = "event", status: str = "status"
+    df: DataFrame,
+    years: list[int],
+    event: str = "event",
+    status: str = "status",
+    classes: list[int] = (0, 1),
 ) -> DataFrame:
-    """Rows per class, calendar month and year, zeros filled: one column per year."""
-    wide = (
-        df.select(status, F.month(event).alias("month"), F.year(event).alias("_year"))
-        .groupBy(status, "month")
-        .pivot("_year", years)
-        .count()
+    """Rows per class, calendar month and year, one column per year: all twelve months of every
+    class, zeros filled. ``other_years`` counts the rows of years that are not listed."""
+    year = F.year(event)
+    counts = df.groupBy(F.col(status).alias("_class"), F.month(event).alias("_month")).agg(
+        *[F.count_if(year == y).alias(f"y{y}") for y in years],
+        F.count_if(~year.isin(years)).alias("other_years"),
+    )
+    months = df.sparkSession.range(1, 13).select(
+        F.explode(F.array(*[F.lit(c) for c in classes])).alias(status), F.col("id").cast("int").alias("month")
     )
-    cells = [F.coalesce(F.col(str(y)), F.lit(0)).alias(f"y{y}") for y in years]
-    return wide.select(status, "month", *cells)
+    cond = (F.col(status) == F.col("_class")) & (F.col("month") == F.col("_month"))
+    cells = [F.coalesce(c, F.lit(0)).alias(c) for c in [*[f"y{y}" for y in years], "other_years"]]
+    return months.join(counts, cond, "left").select(status, "month", *cells)
 
 
 def mean_by(df: DataFrame, c: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(c).alias(f"mean_{c}"), F.count(c).alias("n"))
 
 
-def corr_matrix(df: DataFrame, cols: list[str], digits: int = 2) -> DataFrame:
-    """Pearson correlation of every pair of columns as (a, b, r), in one aggregation.
+def corr_matrix(df: DataFrame, cols: list[str], digits: int = 2, method: str = "pearson") -> DataFrame:
+    """Correlation of every pair of columns as (a, b, r), ``pearson`` or ``spearman``.
 
-    Pairs are built from running moments, so nothing is sorted or collected. Rows with a
-    null in either column of a pair do not enter that pair.
+    The columns travel as one vector, so any width is one pass over the rows; the driver gets
+    one number per pair. A column with a null or without spread has no correlation: null.
     """
-    pairs = list(combinations_with_replacement(cols, 2))
-    both = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        value = F.round(F.col(f"_{i}"), digits).alias("r")
-        cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value))
-        if a != b:
-            cells.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), value))
-    return both.select(F.inline(F.array(*cells)))
+    spark = df.sparkSession
+    numbers = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in cols])
+    vectors = VectorAssembler(inputCols=list(cols), outputCol="v", handleInvalid="keep").transform(numbers)
+    r = Correlation.corr(vectors.select("v"), "v", method).first()[0].toArray()
+    rows = [(a, b, float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    value = F.when(~F.isnan("r"), F.round("r", digits)).alias("r")
+    return spark.createDataFrame(rows, "a string, b string, r double").select("a", "b", value)
 
 
 def summarize(df: DataFrame, cols: list[str]) -> DataFrame:

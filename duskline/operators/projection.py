@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from duskline.functions.numbers import blank_cells, number_from_text, row_check
-from duskline.operators.joins import guarded_lookup
+from duskline.operators.joins import salted_join
 from duskline.sources.scratch import settle
 
 # Fixed value: national currency units per euro before the changeover year.
@@ -116,14 +116,13 @@ def map_category(
     ranks: DataFrame,
     value: str = "category",
     rank: str = "rank",
-    broadcast_rows: int = 100_000,
     salts: int = 32,
 ) -> DataFrame:
     """Replace a category by the text of its rank; a value without a rank stays as it is.
 
     One category may hold most rows, so the rows are never shuffled by category alone:
-    the lookup is broadcast if its counted size allows, and otherwise copied over a salt
-    that spreads each category over ``salts`` tasks.
+    the settled lookup is copied over a salt that spreads each category over ``salts``
+    tasks, and broadcast where Spark sees that it is small.
     """
     dim = settle(
         ranks.filter(F.col(value).isNotNull()).select(
@@ -131,17 +130,15 @@ def map_category(
         ),
         "ranks",
     )
-    joined = guarded_lookup(df, dim, [c], df.columns, broadcast_rows, salts)
+    joined = salted_join(df, dim, [c], df.columns, salts)
     mapped = F.coalesce(F.col("_rank"), F.col(c).cast("string")).alias(c)
     return joined.select(*[mapped if x == c else F.col(x) for x in df.columns])
 
 
-def distinct_values(df: DataFrame, c: str, limit: int = 10_000) -> list:
-    """Sorted distinct values for naming columns; refuses more than ``limit`` of them."""
-    rows = df.select(c).filter(F.col(c).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct values in {c}")
-    return sorted(r[0] for r in rows)
+def distinct_values(df: DataFrame, c: str) -> list:
+    """Sorted distinct values for naming columns: ranks, of which ``risk_rank`` gives at most
+    one more than its parts."""
+    return sorted(r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect())
 
 
 def rank_dummies(df: DataFrame, c: str, ranks: list) -> DataFrame:
@@ -165,16 +162,6 @@ def ratio_score(
     return F.when(total.isNull() | F.isnan(total) | (total == 0), F.lit(neutral)).otherwise(total)
 
 
-# Weights of the five ratios of the bankruptcy score.
-Z_TERMS = [
-    (1.2, "working_capital", "total_assets"),
-    (1.4, "net_profit", "total_assets"),
-    (3.3, "pretax_profit", "total_assets"),
-    (0.6, "equity", "liabilities"),
-    (0.99, "revenue", "total_assets"),
-]
-
-
 def drop_empty_rows(df: DataFrame, cols: list[str], max_empty: int) -> DataFrame:
     """Drop rows with more than ``max_empty`` null-or-zero cells among ``cols``."""
     return df.filter(row_check(blank_cells(cols) <= max_empty))
@@ -185,18 +172,10 @@ def all_null(cols: list[str]) -> Column:
 
 
 def complete_cases(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols or df.columns])
-    return df.filter(row_check(present))
+    """Rows without a null; the rule reaches the scan where the columns come from it."""
+    return df.dropna(subset=cols or df.columns)
 
 
 def label(c: str, positive=1) -> Column:
     """0/1 label as an integer."""
     return F.coalesce((F.col(c) == F.lit(positive)).cast("int"), F.lit(0))
-
-
-def numeric_columns(df: DataFrame, exclude: list[str] = ()) -> list[str]:
-    return [
-        f.name
-        for f in df.schema.fields
-        if isinstance(f.dataType, T.NumericType) and f.name not in exclude
-    ]

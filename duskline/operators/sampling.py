@@ -29,8 +29,9 @@ def take_seeded(
 
     ``n`` may be a column that is constant within the group. Digests are uniform, so a
     group falls into 2**cell_bits even cells. Counting the cells finds the one where the
-    quota runs out; cells before it pass whole and only rows inside a cell are ranked.
-    ``df`` is read twice: settle it if it is costly.
+    quota runs out: rows of the cells before it pass by a filter, without being shuffled for
+    it, and only the rows of that one cell are ranked. ``df`` is read three times: settle it
+    if it is costly.
     """
     limit = F.lit(n) if isinstance(n, int) else n
     by = list(by)
@@ -44,21 +45,18 @@ def take_seeded(
     )
     # At most 2**cell_bits rows per group.
     before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        cells.withColumn("_left", F.col("_limit") - F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .filter(F.col("_left") > 0)
-        .select(*by, "_cell", "_left")
-    )
-    # A group without a name is still a group: null must meet null.
-    cond = (F.col("_l._cell") == F.col("_r._cell")) & null_safe(by, "_l", "_r")
-    rank = Window.partitionBy(*[f"_l.{c}" for c in by], "_l._cell").orderBy("_m", *[f"_l.{c}" for c in key])
-    return (
-        marked.alias("_l")
-        .join(cells.alias("_r"), cond)
-        .withColumn("_rn", F.row_number().over(rank))
-        .filter(F.col("_rn") <= F.col("_left"))
-        .select(*[F.col(f"_l.{c}") for c in df.columns])
-    )
+    cells = cells.withColumn("_left", F.col("_limit") - F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    last = F.max(F.struct("_cell", "_left"))
+    edge = cells.filter(F.col("_left") > 0).groupBy(*by).agg(last.alias("_e"))
+    edge = settle(edge.select(*by, F.col("_e._cell").alias("_edge"), F.col("_e._left").alias("_left")), "edges")
+    # A group without a name is still a group: null must meet null. One row per group.
+    met = marked.alias("_l").join(edge.alias("_r"), null_safe(by, "_l", "_r") if by else F.col("_edge") >= 0)
+    out = [F.col(f"_l.{c}").alias(c) for c in df.columns]
+    full = met.filter(F.col("_cell") < F.col("_edge")).select(*out)
+    rank = Window.partitionBy(*by).orderBy("_m", *key)
+    ranked = met.filter(F.col("_cell") == F.col("_edge")).select(*out, "_m", "_left")
+    ranked = ranked.withColumn("_rn", F.row_number().over(rank)).filter(F.col("_rn") <= F.col("_left"))
+    return full.unionByName(ranked.select(*df.columns))
 
 
 def sample_n(ids: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
@@ -83,9 +81,36 @@ def one_per_id(df: DataFrame, seed: int, keys: list[str], tie: list[str]) -> Dat
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def assign_folds(df: DataFrame, k: int, seed: int, key: list[str], name: str = "fold") -> DataFrame:
-    """Fold 0..k-1 from the key alone: even within each class in expectation, no shuffle."""
-    return df.withColumn(name, seeded_bucket(k, seed, *key))
+def assign_folds(
+    df: DataFrame,
+    k: int,
+    seed: int,
+    key: list[str],
+    name: str = "fold",
+    label: str | None = None,
+    cell_bits: int = CELL_BITS,
+) -> DataFrame:
+    """Fold 0..k-1 of each row.
+
+    With ``label`` the folds are stratified: a row's fold is its seeded rank within its class
+    modulo k, so a class's rows differ by one at most between folds. The rank is the rows of the
+    class in earlier digest cells, at most 2**cell_bits counts, and the rank within the cell, so
+    no class is sorted whole. Without it the fold follows from the key alone, without a shuffle,
+    and classes are even only on average.
+    """
+    if label is None:
+        return df.withColumn(name, seeded_bucket(k, seed, *key))
+    marked = df.withColumn("_m", digest(seed, *key)).withColumn(
+        "_cell", F.shiftright(slot(F.col("_m")), SLOT_BITS - cell_bits)
+    )
+    on = [label, "_cell"]
+    before = Window.partitionBy(label).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = marked.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    cells = cells.select(*on, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*[F.col(f"_l.{c}") for c in on]).orderBy("_m", *[F.col(f"_l.{c}") for c in key])
+    rank = F.row_number().over(inside) - 1 + F.col("_before")
+    joined = marked.alias("_l").join(cells.alias("_r"), null_safe(on, "_l", "_r"))
+    return joined.select(*[F.col(f"_l.{c}").alias(c) for c in df.columns], (rank % k).cast("int").alias(name))
 
 
 def fold_split(df: DataFrame, fold: int, name: str = "fold") -> tuple[DataFrame, DataFrame]:
@@ -158,7 +183,7 @@ def deal_controls(
     else:
         one = line.agg(F.first(F.struct("_total", "_line")).alias("s")).scalar()
         placed = pool.withColumn("_s", one).select("*", "_s._total", "_s._line").drop("_s")
-    spot = slot(digest(seed, *by, "id")) % F.col("_total")
+    spot = slot(digest(f"{seed} deal", *by, "id")) % F.col("_total")
     # The spot is bound to a lambda variable so that it is hashed once per entity and not
     # once per month of the line.
     hit = F.transform(F.array(spot), lambda s: F.filter("_line", lambda x: x["_hi"] > s)[0])[0]
@@ -174,14 +199,15 @@ def match_controls(
     filled=None,
     min_filled: int = 1,
     by: list[str] = (),
+    fill: bool = False,
 ) -> DataFrame:
     """Controls matched to the event calendar, each pool row used once.
 
     Deal, drop entities whose row at the dealt month would be too empty, then keep the
     quota of each month in seeded order. ``filled`` maps (id, event) anchors to a table
     with a ``filled`` count of non-zero cells; it never builds the wide row, so only
-    accepted controls are widened later. A month that falls short stays short:
-    see ``control_shortfall``.
+    accepted controls are widened later. A month that falls short in the deal stays short
+    (see ``control_shortfall``) unless ``fill`` asks for ``fill_open``.
 
     Counting the cells is the one pass over the panel. The dealt pool before it and its
     narrow result are settled, because both are read more than once.
@@ -192,7 +218,59 @@ def match_controls(
         dealt = settle(
             filled(settle(dealt, "dealt")).filter(F.col("filled") >= min_filled).drop("filled"), "accepted"
         )
-    return take_seeded(dealt, [*by, "id"], F.col("quota"), seed, [*by, "event"]).drop("quota")
+    kept = take_seeded(dealt, [*by, "id"], F.col("quota"), seed, [*by, "event"]).drop("quota")
+    return fill_open(pool, quotas, kept, seed, filled, min_filled, by) if fill else kept
+
+
+def fill_open(
+    pool: DataFrame,
+    quotas: DataFrame,
+    kept: DataFrame,
+    seed: int,
+    filled=None,
+    min_filled: int = 1,
+    by: list[str] = (),
+    slack: int = 4,
+) -> DataFrame:
+    """``kept`` with more controls, until no month is short while an unused entity could serve it.
+
+    Each round takes about ``slack`` times the largest gap of the unused entities at every open
+    month, and only their windows are checked; an entity that could serve several months serves
+    one of them. A round that accepts nobody is followed by one that takes four times as many,
+    and filling ends when no month is open or a round over all unused entities accepts nobody.
+    """
+    by = list(by)
+    kept, share, turn = settle(kept, "controls"), 0.0, 0
+    while True:
+        turn += 1
+        short = control_shortfall(kept, quotas, by).filter("missing > 0").select(*by, "event", "missing")
+        short = settle(short, "open_months")
+        gap = short.agg(F.max("missing")).first()[0]
+        unused = pool.alias("_l").join(kept.alias("_r"), null_safe([*by, "id"], "_l", "_r"), "left_anti")
+        unused = settle(unused, "unused")
+        n = unused.count()
+        if not gap or not n:
+            return kept
+        share = min(1.0, max(share, slack * gap / n))
+        # At most one entry per calendar month.
+        months = short.groupBy(*by).agg(F.collect_list(F.struct("event", "missing")).alias("_open"))
+        some = head_fraction(unused, share, f"{seed} fill {turn}", [*by, "id"])
+        if by:
+            asked = salted_join(some, months, by, ["id"], how="inner")
+        else:
+            asked = some.withColumn("_open", months.select("_open").scalar())
+        asked = asked.select(*pool.columns, F.inline("_open"))
+        if filled is not None:
+            asked = filled(settle(asked, "asked")).filter(F.col("filled") >= min_filled).drop("filled")
+        once = settle(one_per_id(asked, f"{seed} fill {turn}", [*by, "id"], ["event"]), "fitting")
+        taken = take_seeded(once, [*by, "id"], F.col("missing"), f"{seed} fill {turn}", [*by, "event"])
+        taken = settle(taken.drop("missing"), "filled")
+        if not taken.isEmpty():
+            kept = settle(kept.unionByName(taken), "controls")
+        elif share == 1.0:
+            return kept
+        else:
+            share = min(1.0, 4 * share)
 
 
 def control_shortfall(controls: DataFrame, quotas: DataFrame, by: list[str] = ()) -> DataFrame:

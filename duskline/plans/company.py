@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from duskline.functions.dates import parse_period
-from duskline.functions.numbers import filled_cells
+from duskline.functions.numbers import filled_cells, quoted
 from duskline.operators import (
     datasets as ds,
     exclusion as ex,
@@ -74,9 +74,20 @@ def is_event():
 
 
 def with_period(raw: DataFrame) -> DataFrame:
-    """Month as a date, year as a column, and a missing status as 0."""
-    df = raw.withColumn("period", parse_period("DATE"))
-    return pj.fill_column(df.withColumn("year", F.year("period")), STATUS, 0)
+    """One row per company and month, the month as a date, and a missing status as 0.
+
+    Of several rows of a month the event row is kept, then the first by its cells in order;
+    rows whose date is no date have no month and go: ``undated_rows`` counts them.
+    """
+    df = raw.withColumn("period", parse_period("DATE")).filter(F.col("period").isNotNull())
+    df = pj.fill_column(df.withColumn("year", F.year("period")), STATUS, 0)
+    cells = F.to_json(F.struct(*[F.col(quoted(c)) for c in raw.columns]))
+    return tl.dedupe(df, ["id", "period"], [is_event().desc(), cells])
+
+
+def undated_rows(raw: DataFrame) -> DataFrame:
+    """Rows per status text whose date cannot be read."""
+    return raw.filter(parse_period("DATE").isNull()).groupBy(STATUS).agg(F.count("*").alias("rows"))
 
 
 def clean_rows(raw: DataFrame) -> DataFrame:
@@ -102,9 +113,10 @@ def clean_columns(
     df = pj.convert_currency(df, [c for c in MONEY if c in df.columns])
     df = settle(tl.truncate_after_event(df, is_event()), "truncated")
     df = pj.drop_sparse(df, sparse_limit, keep=["id", "period", "year", STATUS])
-    df = pj.impute_from(
-        df, "B_PELNAS_PRIES_APMOKEST", "B_GRYNASIS_PELNAS", F.col("B_GRYNASIS_PELNAS") <= 0
-    )
+    if {"B_PELNAS_PRIES_APMOKEST", "B_GRYNASIS_PELNAS"} <= set(df.columns):
+        df = pj.impute_from(
+            df, "B_PELNAS_PRIES_APMOKEST", "B_GRYNASIS_PELNAS", F.col("B_GRYNASIS_PELNAS") <= 0
+        )
     df = pj.fill_all(df)
     for c, values in ((SEGMENT, SEGMENTS), (FILING, FILINGS)):
         df = pj.indicators(df, c, values)
@@ -230,6 +242,7 @@ def ratio_sets(
         seed,
         filled=filled,
         by=by,
+        fill=True,
     ).drop("year")
     return ds.ratio_sets(healthy_rows(panel, controls), shared(rows), ratios, test_year)
 

@@ -144,33 +144,30 @@ def compare_models(spark, sf):
     return cf.compare_models(fx.scores(spark, sf), 0.5, ["month"])
 
 
-_FINE = """
-K0 AS (SELECT model, target, score, floor(score * 10000) AS k FROM S),
-K1 AS (SELECT model, target, score, k + CASE WHEN score >= (k + 1) / CAST(10000 AS DOUBLE) THEN 1 ELSE 0 END AS k FROM K0),
-K2 AS (SELECT model, target, CAST(least(k - CASE WHEN score < k / CAST(10000 AS DOUBLE) THEN 1 ELSE 0 END, 10000) AS INTEGER) AS cell FROM K1),
-HI AS (SELECT model, cell, sum(target) AS p, sum(1 - target) AS n FROM K2 GROUP BY 1, 2),
-CU AS (SELECT model, cell, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp,
+_POINTS = """
+HI AS (SELECT model, score, sum(target) AS p, sum(1 - target) AS n FROM S GROUP BY 1, 2),
+CU AS (SELECT model, score, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp,
               sum(p) OVER (PARTITION BY model) AS pos, sum(n) OVER (PARTITION BY model) AS neg
-       FROM HI WINDOW w AS (PARTITION BY model ORDER BY cell DESC))"""
+       FROM HI WINDOW w AS (PARTITION BY model ORDER BY score DESC))"""
 
 
-@query("roc_curve", "SELECT model, cell, round(fp / neg, 6) AS fpr, round(tp / pos, 6) AS tpr FROM CU", _FINE)
+@query("roc_curve", "SELECT model, score, round(fp / neg, 6) AS fpr, round(tp / pos, 6) AS tpr FROM CU", _POINTS)
 def roc_curve(spark, sf):
     return cv.roc_curve(fx.scores(spark, sf))
 
 
 @query(
     "roc_auc",
-    """SELECT a.model, round(avg(CASE WHEN a.cell > b.cell THEN 1.0 WHEN a.cell = b.cell THEN 0.5 ELSE 0 END), 6) AS auc
-FROM K2 a JOIN K2 b ON a.model = b.model WHERE a.target = 1 AND b.target = 0 GROUP BY 1""",
-    _FINE,
+    """SELECT a.model, round(avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END), 6) AS auc
+FROM S a JOIN S b ON a.model = b.model WHERE a.target = 1 AND b.target = 0 GROUP BY 1""",
+    _POINTS,
 )
 def roc_auc(spark, sf):
     return cv.auc(fx.scores(spark, sf))
 
 
 @query(
-    "det_curve", "SELECT model, cell, round(fp / neg, 6) AS fpr, round((pos - tp) / pos, 6) AS fnr FROM CU", _FINE
+    "det_curve", "SELECT model, score, round(fp / neg, 6) AS fpr, round((pos - tp) / pos, 6) AS fnr FROM CU", _POINTS
 )
 def det_curve(spark, sf):
     return cv.det_curve(fx.scores(spark, sf))
@@ -178,10 +175,10 @@ def det_curve(spark, sf):
 
 @query(
     "det_eer",
-    """SELECT model, round(cell / 10000, 4) AS threshold, round((fpr + fnr) / 2, 6) AS eer FROM (
-  SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(abs(fpr - fnr), 6), cell DESC) AS rn FROM (
-    SELECT model, cell, round(fp / neg, 6) AS fpr, round((pos - tp) / pos, 6) AS fnr FROM CU)) WHERE rn = 1""",
-    _FINE,
+    """SELECT model, score AS threshold, round((fpr + fnr) / 2, 6) AS eer FROM (
+  SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(abs(fpr - fnr), 6), score DESC) AS rn FROM (
+    SELECT model, score, round(fp / neg, 6) AS fpr, round((pos - tp) / pos, 6) AS fnr FROM CU)) WHERE rn = 1""",
+    _POINTS,
 )
 def det_eer(spark, sf):
     return cv.eer(fx.scores(spark, sf))
@@ -189,8 +186,8 @@ def det_eer(spark, sf):
 
 @query(
     "pr_curve",
-    "SELECT model, cell, round(tp / pos, 6) AS recall, round(tp / (tp + fp), 6) AS precision FROM CU",
-    _FINE,
+    "SELECT model, score, round(tp / pos, 6) AS recall, round(tp / (tp + fp), 6) AS precision FROM CU",
+    _POINTS,
 )
 def pr_curve(spark, sf):
     return cv.pr_curve(fx.scores(spark, sf))

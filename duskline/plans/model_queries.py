@@ -156,7 +156,7 @@ NL AS (SELECT id, list(near ORDER BY rn) AS near FROM NB WHERE rn <= 5 GROUP BY
 SY AS (SELECT NL.id, copy, {seeded("'101'", "NL.id", "copy")} AS m, near
        FROM NL CROSS JOIN (SELECT unnest([1, 2]) AS copy)),
 SX AS (SELECT id, copy, near[CAST({slot_of('m')} % len(near) AS INTEGER) + 1] AS neighbour,
-              {slot_of('substr(m, 9, 8)')} / 4294967296 AS gap FROM SY),
+              {slot_of('substr(m, 17, 8)')} / 4294967296 AS gap FROM SY),
 MA AS (SELECT id, vec FROM V WHERE label = 0 ORDER BY {seeded("'101'", "id")}, id
        LIMIT (SELECT 2 * count(*) * 100 // 100 FROM V WHERE label = 1)),
 ALLV AS (

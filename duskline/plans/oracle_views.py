@@ -60,4 +60,4 @@ def seeded(*parts: str) -> str:
 
 
 def slot_of(m: str) -> str:
-    return f"CAST(('0x' || substr({m}, 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr({m}, 1, 15)) AS BIGINT)"

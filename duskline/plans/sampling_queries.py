@@ -61,7 +61,7 @@ def shuffle_rows(spark, sf):
 
 @query(
     "head_fraction",
-    f"SELECT id, period, n FROM P WHERE {slot_of(seeded(repr('101'), 'id', 'period'))} < 2147483648",
+    f"SELECT id, period, n FROM P WHERE {slot_of(seeded(repr('101'), 'id', 'period'))} < 576460752303423488",
 )
 def head_fraction(spark, sf):
     df = fx.panel(spark, sf).select("id", "period", "n")
@@ -88,21 +88,25 @@ def downsample(spark, sf):
     return sp.downsample(fx.score_wide(spark, sf).select("id", "target"), "target", 2, SEED, ["id"])
 
 
+#: Rows of one class, in seeded order, go to the folds in turn.
+_FOLD = f"""CAST((row_number() OVER (PARTITION BY target ORDER BY {seeded(repr('101'), 'id')}, id) - 1) % 5 AS INTEGER)"""
+
+
 @query(
     "assign_folds",
-    f"SELECT c_custkey AS id, CAST({slot_of(seeded(repr('101'), 'c_custkey'))} % 5 AS INTEGER) AS fold FROM customer",
+    f"SELECT id, target, {_FOLD} AS fold FROM T",
 )
 def assign_folds(spark, sf):
-    return sp.assign_folds(fx.customers(spark, sf), 5, SEED, ["id"])
+    return sp.assign_folds(fx.score_wide(spark, sf).select("id", "target"), 5, SEED, ["id"], label="target")
 
 
 @query(
     "fold_split",
     f"""SELECT id, target, fold, CASE WHEN fold = 0 THEN 'validate' ELSE 'train' END AS part FROM (
-SELECT id, target, CAST({slot_of(seeded(repr('101'), 'id'))} % 5 AS INTEGER) AS fold FROM T)""",
+SELECT id, target, {_FOLD} AS fold FROM T)""",
 )
 def fold_split(spark, sf):
-    df = sp.assign_folds(fx.score_wide(spark, sf).select("id", "target"), 5, SEED, ["id"])
+    df = sp.assign_folds(fx.score_wide(spark, sf).select("id", "target"), 5, SEED, ["id"], label="target")
     train, validate = sp.fold_split(df, 0)
     return train.withColumn("part", F.lit("train")).unionByName(
         validate.withColumn("part", F.lit("validate"))
@@ -115,12 +119,13 @@ def match_sql(name: str, ratio: str, key: str, group: str = "") -> str:
     groups = f"CROSS JOIN (SELECT unnest({RATIOS}) AS ratio)" if group else ""
     same = f"AND LN.{group} = U.{group}" if group else ""
     filled = " + ".join(f"(coalesce({m}, 0) <> 0)::INT" for m in fx.METRICS)
-    h = slot_of("m")
+    h = slot_of("d")
+    deal = key.replace("101", "101 deal", 1)
     return f"""
 {name}_Q AS (SELECT {g}event, CAST(sum({ratio}) AS BIGINT) AS quota FROM E {groups} GROUP BY ALL),
 {name}_LN AS (SELECT {g}event, quota, sum(quota) OVER ({part} ORDER BY event) AS hi,
                      sum(quota) OVER ({part}) AS q FROM {name}_Q),
-{name}_D AS (SELECT U.*, LN.event, LN.quota FROM (SELECT H.id, {g}{key} AS m FROM H {groups}) U
+{name}_D AS (SELECT U.*, LN.event, LN.quota FROM (SELECT H.id, {g}{key} AS m, {deal} AS d FROM H {groups}) U
              JOIN {name}_LN LN ON {h} % q >= hi - quota AND {h} % q < hi {same}),
 {name}_F AS (SELECT X.id, {"X." + g if group else ""}X.event, quota, m FROM {name}_D X
              JOIN P ON P.id = X.id AND P.period <= X.event - INTERVAL 3 MONTH
@@ -166,6 +171,38 @@ def match_controls(spark, sf):
     return matched(spark, sf)
 
 
+@query(
+    "match_complete",
+    f"""SELECT event, quota, CAST(0 AS BIGINT) AS open, true AS once FROM (
+  SELECT event, CAST(least(2 * count(*), (SELECT count(DISTINCT H.id) FROM H JOIN P ON P.id = H.id
+    AND P.period <= E.event - INTERVAL 3 MONTH AND P.period > E.event - INTERVAL 15 MONTH
+    AND {" + ".join(f"(coalesce({m}, 0) <> 0)::INT" for m in fx.METRICS)} >= 1)) AS BIGINT) AS quota
+  FROM E GROUP BY event)""",
+)
+def match_complete(spark, sf):
+    """Months that stay short while an unused customer has a non-empty window there: none. The
+    quota shown is what the month's own candidates allow."""
+    p = fx.settled_panel(spark, sf)
+    wanted = sp.control_quotas(fx.events(spark, sf), 2)
+    check = lambda a: ft.filled_lag_cells(a, p, fx.METRICS)
+    pool = fx.healthy(spark, sf)
+    kept = settle(sp.match_controls(pool, wanted, SEED, filled=check, fill=True), "complete")
+    months = wanted.agg(F.collect_list("event")).scalar()
+    able = check(settle(pool.withColumn("event", F.explode(months)), "able")).filter("filled >= 1")
+    able = settle(able.select("id", "event"), "able")
+    spare = able.join(kept, "id", "left_anti").groupBy("event").agg(F.count("*").alias("spare"))
+    all_able = able.groupBy("event").agg(F.count("*").alias("able"))
+    shown = sp.control_shortfall(kept, wanted).join(all_able, "event", "left").join(spare, "event", "left")
+    zero = F.lit(0).cast("long")
+    repeated = kept.agg(F.count("*") == F.count_distinct("id")).scalar()
+    return shown.select(
+        "event",
+        F.least("quota", F.coalesce("able", zero)).alias("quota"),
+        F.least("missing", F.coalesce("spare", zero)).alias("open"),
+        repeated.alias("once"),
+    )
+
+
 @query(
     "match_shortfall",
     """SELECT ratio, event, quota, coalesce(kept, 0) AS kept, quota - coalesce(kept, 0) AS missing
@@ -343,7 +380,7 @@ _TRAIN = [1996, 1997, 1998, 1999]
 ET AS (SELECT id, event FROM E WHERE year(event) IN ({", ".join(map(str, _TRAIN))})),
 HE AS (
   SELECT id, event, 0 AS status FROM W WHERE id NOT IN (SELECT id FROM ET)
-    AND (y <> 1996 OR {slot_of(seeded(repr('101'), 'id', 'event'))} < 2147483648)
+    AND (y <> 1996 OR {slot_of(seeded(repr('101'), 'id', 'event'))} < 576460752303423488)
   UNION ALL SELECT id, event, 1 FROM ET)""",
 )
 def yearly_combine(spark, sf):

@@ -123,9 +123,11 @@ def feature_rows(spark, sf):
 
 @query(
     "class_calendar",
-    "SELECT status, month, "
+    "SELECT K.status, K.month, "
     + ", ".join(f"count(*) FILTER (WHERE y = {y}) AS y{y}" for y in fx.YEARS)
-    + " FROM Z GROUP BY 1, 2",
+    + f", count(*) FILTER (WHERE y NOT IN ({', '.join(map(str, fx.YEARS))})) AS other_years"
+    + """ FROM (SELECT * FROM (SELECT unnest([0, 1]) AS status),
+(SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS month)) K LEFT JOIN Z USING (status, month) GROUP BY 1, 2""",
     """Z AS (
   SELECT 1 AS status, CAST(month(event) AS INTEGER) AS month, year(event) AS y FROM E
   UNION ALL SELECT 0, CAST(month(period) AS INTEGER), year(period) FROM P

@@ -135,7 +135,12 @@ def test_ratio_score(spark, values, expect):
     cols = ["working_capital", "net_profit", "pretax_profit", "equity", "revenue", "total_assets",
             "liabilities"]
     df = spark.createDataFrame([values], ", ".join(f"{c} double" for c in cols))
-    assert df.select(pj.ratio_score(pj.Z_TERMS)).head()[0] == pytest.approx(expect)
+    terms = [
+        (1.2, "working_capital", "total_assets"), (1.4, "net_profit", "total_assets"),
+        (3.3, "pretax_profit", "total_assets"), (0.6, "equity", "liabilities"),
+        (0.99, "revenue", "total_assets"),
+    ]
+    assert df.select(pj.ratio_score(terms)).head()[0] == pytest.approx(expect)
 
 
 def test_impute_only_from_losses(spark):
@@ -164,7 +169,7 @@ def test_map_category_without_broadcast(spark):
     ranks = spark.createDataFrame([(f"c{i}", i) for i in range(50)], "category string, rank int")
     df = spark.range(2000).select("id", F.when(F.col("id") < 1500, "c1").otherwise(
         F.concat(F.lit("c"), F.col("id") % 60)).alias("c"))
-    wide = pj.map_category(df, "c", ranks, broadcast_rows=0, salts=4)
+    wide = pj.map_category(df, "c", ranks, salts=4)
     plain = pj.map_category(df, "c", ranks)
     assert rows(wide) == rows(plain)
 
