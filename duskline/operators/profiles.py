@@ -77,7 +77,10 @@ def corr_matrix(df: DataFrame, cols: list[str], digits: int = 2, method: str = "
     numbers = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in cols])
     vectors = VectorAssembler(inputCols=list(cols), outputCol="v", handleInvalid="keep").transform(numbers)
     r = Correlation.corr(vectors.select("v"), "v", method).first()[0].toArray()
-    rows = [(a, b, float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    rows = [
+        (a, b, None if gaps[a] or gaps[b] else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)
+    ]
     value = F.when(~F.isnan("r"), F.round("r", digits)).alias("r")
     return spark.createDataFrame(rows, "a string, b string, r double").select("a", "b", value)
 

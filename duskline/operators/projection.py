@@ -172,8 +172,8 @@ def all_null(cols: list[str]) -> Column:
 
 
 def complete_cases(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Rows without a null; the rule reaches the scan where the columns come from it."""
-    return df.dropna(subset=cols or df.columns)
+    """Rows without a null; each column's rule reaches the scan if the column comes from it."""
+    return df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols or df.columns]))
 
 
 def label(c: str, positive=1) -> Column:

@@ -49,8 +49,12 @@ def take_seeded(
     last = F.max(F.struct("_cell", "_left"))
     edge = cells.filter(F.col("_left") > 0).groupBy(*by).agg(last.alias("_e"))
     edge = settle(edge.select(*by, F.col("_e._cell").alias("_edge"), F.col("_e._left").alias("_left")), "edges")
-    # A group without a name is still a group: null must meet null. One row per group.
-    met = marked.alias("_l").join(edge.alias("_r"), null_safe(by, "_l", "_r") if by else F.col("_edge") >= 0)
+    if by:
+        # A group without a name is still a group: null must meet null. One row per group.
+        met = marked.alias("_l").join(edge.alias("_r"), null_safe(by, "_l", "_r"))
+    else:
+        one = edge.select(F.struct("_edge", "_left").alias("e")).scalar()
+        met = marked.withColumn("_e", one).select("*", "_e._edge", "_e._left").alias("_l")
     out = [F.col(f"_l.{c}").alias(c) for c in df.columns]
     full = met.filter(F.col("_cell") < F.col("_edge")).select(*out)
     rank = Window.partitionBy(*by).orderBy("_m", *key)

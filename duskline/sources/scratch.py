@@ -38,9 +38,11 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
 
     Later uses survive lost executors without recomputation, and the planner sees the
     true size of the files instead of an estimate, so a small result is broadcast by
-    Spark's own size threshold and a large one is not.
+    Spark's own size threshold and a large one is not. The files go when the driver ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(files)
     return spark.read.schema(df.schema).parquet(path)
