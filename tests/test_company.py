@@ -3,49 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
-from duskline.functions.dates import format_period
 from duskline.operators.features import annual_names, lag_names
-from duskline.plans import company as co, fixtures as fx
+from duskline.plans import company as co, company_queries as cq
 from duskline.sources.scratch import settle
 
 
 @pytest.fixture(scope="module")
 def raw(spark, tiny):
     """Customers as companies, orders as monthly figures, written once."""
-    d = fx.dense_panel(spark, tiny)
-    c = fx.table(spark, tiny, "customer")
-    d = d.join(c.withColumnRenamed("c_custkey", "id"), "id")
-    num = F.coalesce("sales", F.lit(0.0))
-    df = d.select(
-        "id",
-        format_period("period").alias("DATE"),
-        F.when(F.col("status") == 5, 5).alias("KODAS_STATUSAI"),
-        F.when(F.col("id") % 29 == 0, "X").otherwise(F.col("c_mktsegment")).alias("VKR_SEKCIJA"),
-        F.lit(1).alias("AR_EGZISTAVO"),
-        (F.col("c_nationkey") % 4).alias("APS"),
-        F.element_at(F.array(F.lit("MMM"), F.lit("DMM"), F.lit("S")), (F.col("id") % 3 + 1).cast("int")).alias("SEGMENTAS"),
-        F.lit("M").alias("laik_tipas_pvm"),
-        (F.col("year") * 12 - 1990 * 12).cast("double").alias("IMONES_AMZIUS_MM"),
-        F.format_number("sales", 2).alias("pardavimai_pvm_dekl"),
-        F.format_number("max_price", 2).alias("pvm_dekl_36"),
-        F.format_number("avg_price", 2).alias("pirkimai_pvm_dekl"),
-        F.col("n").cast("double").alias("darb_su_alga"),
-        F.when(F.month("period") == 12, 1.0).alias("NEAPMOK_PROC"),
-        F.lit(1.0).alias("DU_KASTAI"),
-        F.col("avg_price").alias("likutis"),
-        F.lit(None).cast("double").alias("always_empty"),
-        F.lit(2.0).alias("VADOV_POK"),
-        num.alias("B_PARDAVIMO_PAJAMOS"),
-        F.when(F.col("id") % 2 == 0, 5.0).alias("B_PELNAS_PRIES_APMOKEST"),
-        (F.col("id") % 5 - 2).cast("double").alias("B_GRYNASIS_PELNAS"),
-        num.alias("B_TURTO_IS_VISO"),
-        F.lit(3.0).alias("B_NUOSAVAS_KAPITALAS"),
-        F.lit(1.5).alias("R_APYVART_KAPITALAS"),
-        F.lit(4.0).alias("R_ISIPAREIGOJIMAI"),
-        F.lit(0.5).alias("R_BENDR_MOK_KOEF"),
-        F.lit("g").alias("GRUPE"),
-    )
-    return settle(df, "raw")
+    return settle(cq.raw_rows(spark, tiny), "raw")
 
 
 @pytest.fixture(scope="module")
