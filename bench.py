@@ -14,13 +14,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from duskline.operators import features as ft  # noqa: E402
+from duskline.operators import features as ft, profiles as pr  # noqa: E402
 from duskline.plans import fixtures as fx, load  # noqa: E402
 from duskline.session import local_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 WIDTH = 17
+METRICS = ["n", "sales", "avg_price", "max_price", "year"]
 
 HEADLINE = [
     "scan_panel", "null_profile", "category_risk", "map_category", "ratio_score", "clean_rows",
@@ -28,7 +29,7 @@ HEADLINE = [
     "lag_features_dense", "match_controls", "combine_classes", "class_balance", "monthly_sets",
     "ratio_sets", "yearly_combine", "downsample", "one_per_id", "corr_matrix", "class_report",
     "threshold_kappa", "threshold_sweep", "roc_auc", "det_eer", "best_fold", "smote",
-    "forest_scores", "cross_scores",
+    "forest_scores", "cross_scores", "company_clean", "match_complete",
 ]
 
 
@@ -44,6 +45,14 @@ def wide_lags(spark, sf):
     return ft.lag_features(anchors, panel, metrics)
 
 
+def wide_corr(spark, sf):
+    """Correlations of fifty columns."""
+    base = fx.panel(spark, sf)
+    cols = [(F.col(c) * F.rand(i) if i else F.col(c)).alias(f"{c}_{i}") for i in range(10) for c in METRICS]
+    wide = base.select(*cols)
+    return pr.corr_matrix(wide, wide.columns)
+
+
 def run(df) -> None:
     df.write.mode("overwrite").format("noop").save()
 
@@ -51,7 +60,7 @@ def run(df) -> None:
 def main() -> None:
     spark = local_session(CPUS, "bench")
     queries, _ = load()
-    timed = {name: queries[name] for name in HEADLINE} | {"lag_features_17x12": wide_lags}
+    timed = {name: queries[name] for name in HEADLINE} | {"lag_features_17x12": wide_lags, "corr_matrix_50": wide_corr}
     run(queries["event_counts"](spark, SF_DIR))  # start the engine
     seconds = {}
     for name, fn in timed.items():
