@@ -60,6 +60,7 @@ def check_secrets(text, row):
 
 
 def test_base_secrets(spark, tiny):
+    tiny = tiny.replace("sf0.001", "sf0.01")  # the smallest table holds no secret
     found = {r["doc_id"]: r for r in secrets.op4(spark, tiny).collect()}
     assert sum(r["n_assign"] + r["n_access"] for r in found.values())
     for i, d in documents(spark, tiny).items():
