@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duskline.llm import decontaminate, language, linespread, mixing, simhash
+from duskline.llm.text import spare
 from duskline.sources.scratch import settle
 
 
@@ -21,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lose every line they had go; those that were blank before stay."""
-    count = "lines_removed"
+    count = spare(docs, "lines_removed")
     out = linespread.drop_spread_lines(docs, count=count)
     return out.filter((F.col(count) == 0) | (F.trim(F.translate("text", "\n", " ")) != "")).drop(count)
 

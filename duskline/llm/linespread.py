@@ -73,7 +73,7 @@ def drop_spread_lines(
     """``docs`` with every cross-site line removed but in the document with the smallest key.
 
     The text column is replaced, all other columns and all rows stay; ``count`` names a column
-    for the number of removed lines. Blank lines are never removed, and the order of the rest
+    for the number of removed lines, with underscores after it if the name is taken. Blank lines are never removed, and the order of the rest
     is kept. Null text stays null, empty text empty. A null site is no site; a null key is the
     smallest only if all are null. Rows that repeat the smallest key all keep the line. Empty
     tables stay empty.
@@ -104,7 +104,7 @@ def drop_spread_lines(
         F.size(_lines(whole_text)) - F.size(kept)
     )
     out = [new.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns]
-    return joined.select(*out, *([gone.cast("long").alias(count)] if count else []))
+    return joined.select(*out, *([gone.cast("long").alias(spare(docs, count))] if count else []))
 
 
 SQL = f"""
@@ -127,5 +127,5 @@ FROM marked GROUP BY rowid_, doc_id
 @query("op10_line_spread", SQL)
 def op10(spark, sf_dir):
     """All documents without lines that six or more sources have, and how many each lost."""
-    out = drop_spread_lines(table(spark, sf_dir, "documents"), count="n_removed")
-    return out.select("doc_id", "text", "n_removed")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return drop_spread_lines(docs, count="n_removed").drop("source")

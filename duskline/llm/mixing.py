@@ -91,15 +91,14 @@ def mix(
     Texts are not inspected beyond their length: long ones are copied like any other, null and
     empty ones weigh nothing but are drawn by their source's rate. Rows that repeat a key get the
     same number of copies. Rows of a source of rate zero go; an empty table stays empty. All
-    columns are kept, and ``copy`` and ``order`` must not be among them.
+    columns are kept; where one is already called ``copy`` or ``order``, the new one gets
+    underscores after its name.
 
     The rates are one row per source, settled, so Spark knows their size; each is repeated over
     ``salts`` so that a source with a third of all rows is not one task should they not be
     small enough to broadcast.
     """
-    clash = {copy, order} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    copy, order = spare(docs, copy), spare(docs, order)
     rate = settle(repetition_rates(docs, source=source, text=text, **options).filter("rate > 0"), "rates")
     parts = F.ceil(F.col("rate") / STEP)
     salts = 16

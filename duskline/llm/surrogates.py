@@ -250,14 +250,13 @@ def with_surrogates(
     different surrogates, and no surrogate is an entity of the corpus.
 
     Null text stays null, empty text empty, with no entities. All columns and rows stay, repeated
-    rows too; ``count`` and ``kinds`` must not be among the columns; an empty table stays empty.
+    rows too; where a column is already called ``count`` or ``kinds``, the new one gets underscores
+    after its name; an empty table stays empty.
 
     Texts are rewritten where they are. Only the entities of each text, without the text, are
     shuffled, and only texts with an entity that needed another attempt are joined with it.
     """
-    clash = {count, kinds} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    count, kinds = spare(docs, count), spare(docs, kinds)
     hits = docs.select(text_key(F.col(text)).alias("text_key"), _hits(whole(F.col(text))).alias("hits"))
     hits = hits.select("text_key", F.explode_outer("hits").alias("hit")).filter(F.col("hit").isNotNull())
     hits = hits.withColumn("kind", _kind(F.col("hit"))).withColumn("entity", _entity(F.col("kind"), F.col("hit")))
@@ -292,4 +291,4 @@ def with_surrogates(
 @query("op5_pii_surrogates")
 def op5(spark, sf_dir):
     """All documents with personal data replaced."""
-    return with_surrogates(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "kinds")
+    return with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))

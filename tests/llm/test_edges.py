@@ -8,7 +8,11 @@ from duskline.llm import (
 )
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = "key string, h string, row string, _tk string, _s string, t string, w string, n string, g string, k string, site string, text_key string, item string, part string, lines string"
+CLASH = """
+    key h row _tk _s t w n g k site text_key item part lines d x r i c f a b s p u v m o own group label gram pos at votes
+    span kind entity attempt hit hits tries copy shuffle_key n_entities kinds lines_removed n_removed score lang_pred
+    held_out fingerprint component_id need hs shingle head ahead before rate weight size rank value owner repo line
+""".split()
 LONG = "under the mit license " * 20_000 + "\nend"
 ROWS = [
     (1, "alpha beta gamma delta epsilon zeta eta theta", "en", "a", 1),
@@ -34,7 +38,7 @@ OPERATORS = {
     "one_of_each": simhash.one_of_each,
     "spotsigs": spotsigs.fingerprints_with_edits,
     "spotsig_pairs": spotsigs.near_pairs,
-    "lines": lambda d: linespread.drop_spread_lines(d, min_sites=2),
+    "lines": lambda d: linespread.drop_spread_lines(d, min_sites=2, count="n_removed"),
 }
 ROW_BY_ROW = ["licenses", "language", "secrets", "surrogates", "urls", "simhash", "spotsigs", "lines"]
 
@@ -45,7 +49,7 @@ def items(spark):
 
 
 def docs(spark, rows=ROWS):
-    extra = [F.lit(f"x{i}").alias(c.split()[0]) for i, c in enumerate(CLASH.split(", "))]
+    extra = [F.lit(f"x{i}").alias(c) for i, c in enumerate(CLASH)]
     return spark.createDataFrame(rows, SCHEMA).select("*", *extra)
 
 
@@ -67,8 +71,8 @@ def test_extra_columns_pass_through(spark, name):
     table = docs(spark)
     out = OPERATORS[name](table)
     assert out.columns[: len(table.columns)] == table.columns
-    for r in out.select(*[c.split()[0] for c in CLASH.split(", ")]).collect():
-        assert list(r) == [f"x{i}" for i in range(len(CLASH.split(", ")))]
+    for r in out.select(*CLASH).collect():
+        assert list(r) == [f"x{i}" for i in range(len(CLASH))]
 
 
 def test_defined_results(spark):
