@@ -1,13 +1,17 @@
 """Probability forests with MLlib: fit, tune, score out of fold, pick, sweep.
 
-The driver loops over fits only. Each fit is distributed, all scores land in one long
-table, and every evaluation of that table is one grouped query.
+The driver loops over fits only. Each fit is distributed, the fits of different folds run
+side by side, all scores land in one long table, and every evaluation of that table is one
+grouped query.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from duskline.evaluation.confusion import best_fold
 from duskline.operators.profiles import with_class_weight
-from duskline.operators.sampling import assign_folds, fold_split
+from duskline.operators.sampling import assign_folds, downsample, fold_split
 from duskline.sources.scratch import settle
 
 
@@ -131,6 +135,15 @@ def tune_forest(
     return fitted.bestModel, results
 
 
+def _side_by_side(work, items: list, parallelism: int, df: DataFrame) -> list:
+    """``work`` of every item, as many at a time as asked; the jobs share the executors."""
+    pool = ThreadPool(max(1, min(parallelism, len(items))))
+    try:
+        return pool.map(inheritable_thread_target(df.sparkSession)(work), items, chunksize=1)
+    finally:
+        pool.close()
+
+
 def cross_scores(
     df: DataFrame,
     n_features: int,
@@ -140,25 +153,29 @@ def cross_scores(
     params: ForestParams = ForestParams(),
     model_name: str = "forest",
     rebalance=None,
+    parallelism: int = 4,
 ) -> tuple[DataFrame, list[PipelineModel]]:
     """Out-of-fold scores of k fits, stacked, and the models by fold.
 
     ``rebalance`` changes the training part only (class synthesis, downsampling), so no
-    derived row can reach the fold it is validated on.
+    derived row can reach the fold it is validated on. As many as ``parallelism`` fits share
+    the executors; the driver only waits for them.
     """
     smallest = df.groupBy(label).count().agg(F.min("count").alias("n"), F.count("*").alias("classes")).first()
     if smallest["classes"] < 2 or smallest["n"] < 2:
         raise ValueError(f"every training part needs two classes, the smallest class has {smallest['n']} rows")
     folded = settle(assign_folds(df, k, params.seed, list(key), label=label), "folded")
-    models, scored = [], None
-    for fold in range(k):
-        train, validate = fold_split(folded, fold)
-        if rebalance is not None:
-            train = rebalance(train)
-        model = fit_forest(train, n_features, label, params)
-        models.append(model)
-        part = score(model, validate, [*key, "fold", F.col(label).cast("int").alias("target")])
-        scored = part if scored is None else scored.unionByName(part)
+
+    def fit(fold: int) -> PipelineModel:
+        train, _ = fold_split(folded, fold)
+        return fit_forest(train if rebalance is None else rebalance(train), n_features, label, params)
+
+    models = _side_by_side(fit, list(range(k)), parallelism, df)
+    keep = [*key, "fold", F.col(label).cast("int").alias("target")]
+    scored = reduce(
+        DataFrame.unionByName,
+        [score(model, fold_split(folded, fold)[1], keep) for fold, model in enumerate(models)],
+    )
     return scored.withColumn("model", F.lit(model_name)), models
 
 
@@ -169,21 +186,45 @@ def best_model(scores: DataFrame, models: list[PipelineModel]) -> tuple[int, Pip
 
 
 def sweep(
-    sets: dict, test: DataFrame, n_features: int, keep: list[str], k: int = 5,
-    params: ForestParams = ForestParams(), label: str = "status",
+    sets: dict, test: DataFrame | dict[str, DataFrame], n_features: int, keep: list[str], k: int = 5,
+    params: ForestParams = ForestParams(), label: str = "status", key: list[str] = ("id",),
+    parallelism: int = 6,
 ) -> tuple[DataFrame, DataFrame, dict]:
-    """Fit k folds per named training set, score the common test rows with each set's
-    best model. Returns out-of-fold scores, test scores, and the models by name."""
-    oof, tested, models = None, None, {}
-    for name, train in sets.items():
+    """Fit k folds per named training set, score the test rows (common ones, or each set's
+    own) with each set's best model. Returns out-of-fold scores, test scores, and the models
+    by name. The sets are worked on side by side, the folds of one set in turn."""
+
+    def run(name: str) -> tuple[DataFrame, DataFrame, list[PipelineModel]]:
         scores, fitted = cross_scores(
-            train, n_features, k, label, params=params, model_name=str(name)
+            sets[name], n_features, k, label, key, params=params, model_name=str(name), parallelism=1
         )
-        models[name] = fitted
         _, best = best_model(scores, fitted)
-        part = score(best, test, [*keep, F.col(label).cast("int").alias("target")]).withColumn(
-            "model", F.lit(str(name))
-        )
-        oof = scores if oof is None else oof.unionByName(scores)
-        tested = part if tested is None else tested.unionByName(part)
-    return oof, tested, models
+        rows = test[name] if isinstance(test, dict) else test
+        part = score(best, rows, [*keep, F.col(label).cast("int").alias("target")])
+        return scores, part.withColumn("model", F.lit(str(name))), fitted
+
+    done = _side_by_side(run, list(sets), parallelism, next(iter(sets.values())))
+    oof, tested, models = zip(*done)
+    return reduce(DataFrame.unionByName, oof), reduce(DataFrame.unionByName, tested), dict(zip(sets, models))
+
+
+def month_sweep(
+    rows: DataFrame, n_features: int, ratio: int = 10, k: int = 5,
+    params: ForestParams = ForestParams(), label: str = "status", key: list[str] = ("id", "event"),
+) -> tuple[DataFrame, DataFrame, dict]:
+    """The months against the year: one model per calendar month and one of all months.
+
+    ``rows`` has ``month``, ``split`` (train or test), the key, the label and ``features``. The
+    controls of each month's training rows are cut to ``ratio`` per event; the year model
+    learns from all of these together. A month's model scores that month of the test split, the
+    year model every month. A month whose training rows have fewer than two of a class gets no
+    model and has the year's scores only. Results as from ``sweep``, models named by the month
+    number and ``year``.
+    """
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    even = settle(downsample(train, label, ratio, params.seed, list(key), ["month"]), "month_train")
+    classes = even.groupBy("month", label).count().filter(F.col("count") >= 2)  # 24 rows at most
+    months = sorted(r["month"] for r in classes.groupBy("month").count().filter("count = 2").collect())
+    sets = {str(m): even.filter(F.col("month") == m) for m in months} | {"year": even}
+    tests = {str(m): test.filter(F.col("month") == m) for m in months} | {"year": test}
+    return sweep(sets, tests, n_features, [*key, "month"], k, params, label, key)

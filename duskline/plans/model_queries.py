@@ -1,7 +1,7 @@
 """Forests, folds, sweeps, importances and synthetic rows.
 
-Fits are not expressible in SQL, so most of these have no SQL equivalent. They run on the
-full case-control rows with fewer trees than the library default.
+Fits are not expressible in SQL, so most of these have no SQL equivalent. They run on all
+case-control rows, with the library's default trees, folds, ratios and months.
 """
 
 from __future__ import annotations
@@ -18,12 +18,11 @@ from duskline.operators.smote import smote
 from duskline.plans import fixtures as fx
 from duskline.plans.catalog import query
 from duskline.plans.oracle_views import seeded, slot_of
-from duskline.plans.sampling_queries import CASES, case_control, event_rows, matched_ratios
+from duskline.plans.sampling_queries import CASES, RATIOS, case_control, event_rows, matched_ratios, monthly_sets
 from duskline.sources import panel_io as io
 from duskline.sources.scratch import scratch_path, settle
 
 FEATURES = ft.lag_names(fx.METRICS) + ft.annual_names(fx.ANNUAL)
-SMALL = fr.ForestParams(trees=20, min_child_rows=10, depth=8)
 
 
 def _train(spark, sf):
@@ -39,7 +38,7 @@ def forest_scores(spark, sf):
     """Fit on all years but the test year, score the test year."""
     df = _train(spark, sf)
     year = F.year("event")
-    model = fr.fit_forest(df.filter(year != fx.TEST_YEAR), len(FEATURES), params=SMALL)
+    model = fr.fit_forest(df.filter(year != fx.TEST_YEAR), len(FEATURES))
     return _rounded(fr.score(model, df.filter(year == fx.TEST_YEAR), ["id", "event", "status"]))
 
 
@@ -47,21 +46,19 @@ def forest_scores(spark, sf):
 def forest_weighted(spark, sf):
     df = _train(spark, sf)
     year = F.year("event")
-    model = fr.fit_weighted(df.filter(year != fx.TEST_YEAR), len(FEATURES), params=SMALL)
+    model = fr.fit_weighted(df.filter(year != fx.TEST_YEAR), len(FEATURES))
     return _rounded(fr.score(model, df.filter(year == fx.TEST_YEAR), ["id", "event", "status"]))
 
 
 @query("cross_scores")
 def cross_scores(spark, sf):
-    scores, _ = fr.cross_scores(_train(spark, sf), len(FEATURES), 3, params=SMALL)
+    scores, _ = fr.cross_scores(_train(spark, sf), len(FEATURES))
     return _rounded(scores)
 
 
 @query("tune_forest")
 def tune_forest(spark, sf):
-    _, results = fr.tune_forest(
-        _train(spark, sf), len(FEATURES), [10, 40], [10, 50], 3, params=SMALL
-    )
+    _, results = fr.tune_forest(_train(spark, sf), len(FEATURES), [10, 40], [10, 50])
     return spark.createDataFrame(results, "columns int, child_rows int, log_loss double")
 
 
@@ -71,7 +68,7 @@ def tune_forest(spark, sf):
 def model_roundtrip(spark, sf):
     """Every case scored before saving and after loading: the scores are the same."""
     df = _train(spark, sf)
-    model = fr.fit_forest(df, len(FEATURES), params=SMALL)
+    model = fr.fit_forest(df, len(FEATURES))
     path = scratch_path(spark, "model")
     io.save_model(model, path)
     before = fr.score(model, df, ["id", "event", "status"], "before")
@@ -84,7 +81,7 @@ def model_roundtrip(spark, sf):
 @query("importance_matrix")
 def importance_matrix_query(spark, sf):
     """Importances of each fold's model side by side."""
-    _, models = fr.cross_scores(_train(spark, sf), len(FEATURES), 3, params=SMALL)
+    _, models = fr.cross_scores(_train(spark, sf), len(FEATURES))
     runs = [f"CV_{i}" for i in range(len(models))]
     long = reduce(
         lambda a, b: a.unionByName(b),
@@ -95,8 +92,8 @@ def importance_matrix_query(spark, sf):
 
 @query("ratio_sweep")
 def ratio_sweep(spark, sf):
-    """Class ratios x thresholds x test months, as rows of kept metrics."""
-    ratios = [1, 4]
+    """Every class ratio x thresholds x test months, as rows of kept metrics."""
+    ratios = RATIOS
     p = settle(fx.panel(spark, sf), "panel")
     names = ft.lag_names(fx.METRICS)
     anchors = matched_ratios(spark, sf, ratios, p).withColumn("status", F.lit(0))
@@ -109,7 +106,7 @@ def ratio_sweep(spark, sf):
     test = rows.filter((F.year("event") == fx.TEST_YEAR) & (F.col("ratio") == max(ratios)))
     sets = {f"DISB_{r}": train.filter(F.col("ratio") == r) for r in ratios}
     _, tested, _ = fr.sweep(
-        sets, test.withColumn("month", F.month("event")), len(names), ["id", "month"], 2, SMALL
+        sets, test.withColumn("month", F.month("event")), len(names), ["id", "month"]
     )
     cm = cf.threshold_sweep(tested, [0.2, 0.4, 0.6, 0.8], ["model", "month"])
     long = cf.long_metrics(cf.class_metrics(cm), ["model", "month", "threshold"])
@@ -118,13 +115,11 @@ def ratio_sweep(spark, sf):
 
 @query("month_models")
 def month_models(spark, sf):
-    """A model trained on one calendar month against one trained on all, per test month."""
-    df = _train(spark, sf).withColumn("month", F.month("event"))
-    test_year = F.year("event") == fx.TEST_YEAR
-    train, test = df.filter(~test_year), df.filter(test_year)
-    first_half = train.filter(F.col("month") <= 6)
-    sets = {"half_trained": first_half, "year_trained": train}
-    _, tested, _ = fr.sweep(sets, test, len(FEATURES), ["id", "month"], 2, SMALL)
+    """Each calendar month's model against the year's, on that month of the test year."""
+    names = ft.lag_names(["n"])
+    rows = fr.prepare(monthly_sets(spark, sf), names, ["id", "event", "month", "split", "status"], "months")
+    _, tested, _ = fr.month_sweep(rows, len(names))
+    tested = tested.withColumn("model", F.when(F.col("model") == "year", "year").otherwise("month"))
     return cf.compare_models(tested, 0.35, ["month"])
 
 
@@ -141,7 +136,7 @@ def smote_folds(spark, sf):
         return made.select(F.col("label").alias("status"), array_to_vector("vec").alias("features"))
 
     scores, _ = fr.cross_scores(
-        _train(spark, sf), len(FEATURES), 2, params=SMALL, rebalance=more_events
+        _train(spark, sf), len(FEATURES), rebalance=more_events
     )
     return _rounded(scores)
 

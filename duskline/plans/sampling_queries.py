@@ -19,7 +19,7 @@ from duskline.plans.timeline_queries import annual_sql, lag_sql
 from duskline.sources.scratch import settle
 
 SEED = fx.SEED
-RATIOS = [1, 2, 4, 10]
+RATIOS = [1, 2, 4, 6, 8, 10, 12, 14, 16, 18, 20, 25, 30]
 
 
 @query(
@@ -350,11 +350,11 @@ def ratio_sets(spark, sf):
 
 @query(
     "ratio_audit",
-    """SELECT ratio, count(*) AS rows, count(*) FILTER (WHERE status = 0) AS healthy,
+    f"""SELECT ratio, count(*) AS rows, count(*) FILTER (WHERE status = 0) AS healthy,
 count(*) FILTER (WHERE status = 1) AS events,
 round(count(*) FILTER (WHERE status = 1) / count(*), 4) AS share FROM (
   SELECT ratio, 0 AS status FROM MR
-  UNION ALL SELECT ratio, 1 FROM EK CROSS JOIN (SELECT unnest([1, 2, 4, 10]) AS ratio)) GROUP BY 1""",
+  UNION ALL SELECT ratio, 1 FROM EK CROSS JOIN (SELECT unnest({RATIOS}) AS ratio)) GROUP BY 1""",
     f"{MATCHED_RATIOS},{_EVENTS_KEPT}",
 )
 def ratio_audit(spark, sf):

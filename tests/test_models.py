@@ -3,11 +3,12 @@ from pyspark.sql import functions as F
 
 from duskline.models import forest as fr
 from duskline.plans import load
+from duskline.plans.sampling_queries import RATIOS
 
 QUERIES, _ = load()
 
 
-@pytest.mark.parametrize("name", ["forest_scores", "forest_weighted", "cross_scores", "smote_folds"])
+@pytest.mark.parametrize("name", ["forest_scores", "forest_weighted", "smote_folds"])
 def test_scores_are_probabilities(spark, tiny, name):
     df = QUERIES[name](spark, tiny).toPandas()
     assert len(df) and df.score.between(0, 1).all()
@@ -16,6 +17,7 @@ def test_scores_are_probabilities(spark, tiny, name):
 def test_cross_scores_cover_every_row_once_and_repeat(spark, tiny):
     a = QUERIES["cross_scores"](spark, tiny).toPandas().sort_values("id")
     b = QUERIES["cross_scores"](spark, tiny).toPandas().sort_values("id")
+    assert len(a) and a.score.between(0, 1).all()
     assert a.id.is_unique and a.score.tolist() == b.score.tolist()
 
 
@@ -32,13 +34,31 @@ def test_importances_sum_to_one(spark, tiny):
 
 
 def test_sweep_and_tuning_shapes(spark, tiny):
-    assert {"threshold", "month", "metric", "DISB_1", "DISB_4"} == set(
-        QUERIES["ratio_sweep"](spark, tiny).columns
-    )
+    models = {f"DISB_{r}" for r in RATIOS}
+    assert {"threshold", "month", "metric"} | models == set(QUERIES["ratio_sweep"](spark, tiny).columns)
     grid = QUERIES["tune_forest"](spark, tiny).toPandas()
     assert len(grid) == 4 and (grid.log_loss > 0).all()
 
 
+def test_months_without_two_classes_have_the_year_only(spark):
+    rows = [
+        (i, f"{1999 + (i % 4 == 0)}-{m:02d}-01", m, "test" if i % 4 == 0 else "train", int(i % 8 < 2 and m < 3), float(i % 8))
+        for m in (1, 2, 3) for i in range(40)
+    ]
+    df = spark.createDataFrame(rows, "id long, event string, month int, split string, status int, x double")
+    df = fr.prepare(df, ["x"], ["id", "event", "month", "split", "status"])
+    oof, tested, models = fr.month_sweep(df, 1, 2, 2, fr.ForestParams(trees=5, columns=1, min_child_rows=1))
+    assert set(models) == {"1", "2", "year"} and all(len(m) == 2 for m in models.values())
+    scored = {(r["model"], r["month"]): r["n"] for r in tested.groupBy("model", "month").agg(F.count("*").alias("n")).collect()}
+    assert scored == {("1", 1): 10, ("2", 2): 10, ("year", 1): 10, ("year", 2): 10, ("year", 3): 10}
+    # Two months with ten event rows in training: each keeps these and at most two controls per event.
+    n = {r["model"]: (r["n"], r["e"]) for r in oof.groupBy("model").agg(F.count("*").alias("n"), F.sum("target").alias("e")).collect()}
+    events = sum(1 for r in rows if r[3] == "train" and r[4] and r[2] == 1)
+    spare = sum(1 for r in rows if r[3] == "train" and not r[4] and r[2] == 1)
+    kept = events + min(2 * events, spare)
+    assert n == {"1": (kept, events), "2": (kept, events), "year": (2 * kept, 2 * events)}
+
+
 def test_best_model_follows_error(spark):
     df = spark.createDataFrame(
         [("m", 0, 0.9, 0), ("m", 1, 0.1, 0)], "model string, fold int, score double, target int"
