@@ -96,16 +96,39 @@ def filled_lag_cells(
 
 
 def lag_features_dense(
-    panel: DataFrame, metrics: list[str], n: int = LAGS, gap: int = GAP
+    panel: DataFrame,
+    metrics: list[str],
+    n: int = LAGS,
+    gap: int = GAP,
+    years: list[int] | None = None,
+    without: DataFrame | None = None,
 ) -> DataFrame:
     """The same row for every entity and every calendar month as pseudo-event.
 
     The calendar is made complete first; after that a lag in rows is a lag in months, and
     one sort by entity serves all cells. Months before the panel count as 0.
+
+    With ``years`` only months of those years in which the entity has a row are given, and the
+    calendar goes no further back than their lags reach. ``without`` (id, month) leaves an entity
+    out in a calendar month of every year. Both are facts of the entity, few per row, that
+    travel with the calendar, so the wide rows are neither joined nor moved for them.
     """
     span = panel.agg(F.struct(F.min("period").alias("a"), F.max("period").alias("b"))).scalar()
-    months = F.sequence(span["a"], span["b"], F.expr("interval 1 month"))
-    calendar = panel.select("id").distinct().select("id", F.explode(months).alias("period"))
+    first, last = span["a"], span["b"]
+    if years is not None:
+        reach = F.make_date(F.lit(min(years)), F.lit(1), F.lit(1))
+        first = F.greatest(first, F.add_months(reach, 1 - n - gap))
+        last = F.least(last, F.make_date(F.lit(max(years)), F.lit(12), F.lit(1)))
+    months = F.when(first <= last, F.sequence(first, last, F.expr("interval 1 month")))
+    ids = panel.groupBy("id").agg(F.collect_set(F.year("period")).alias("_years"))
+    asked = F.lit(True)
+    if years is not None:
+        asked = F.year("period").isin(years) & F.array_contains("_years", F.year("period"))
+    if without is not None:
+        off = without.groupBy("id").agg(F.collect_set("month").alias("_off"))
+        ids = ids.join(off, "id", "left")
+        asked = asked & ~F.coalesce(F.array_contains("_off", F.month("period")), F.lit(False))
+    calendar = ids.select("*", F.explode(months).alias("period")).select("id", "period", asked.alias("_asked"))
     dense = calendar.join(panel.select("id", "period", *metrics), ["id", "period"], "left")
     cells = [
         f"coalesce(CAST(lag({quoted(m)}, {i + gap - 1}) OVER (PARTITION BY id ORDER BY period)"
@@ -113,7 +136,7 @@ def lag_features_dense(
         for m in metrics
         for i in range(1, n + 1)
     ]
-    return dense.selectExpr("id", "period AS event", *cells)
+    return dense.selectExpr("id", "period AS event", "_asked", *cells).filter("_asked").drop("_asked")
 
 
 def annual_features(

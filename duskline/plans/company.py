@@ -187,20 +187,15 @@ def monthly_sets(panel: DataFrame, rows: DataFrame, years: list[int], test_year:
     """All companies at each calendar month of each year against that month's events.
 
     Nearly every company-month is an anchor here, so the dense lags serve them all from
-    one sort by company.
+    one sort by company. Which months a company is asked for is settled before that sort, and
+    the wide rows stay where it left them.
     """
     blocks = Blocks.of(panel, healthy=True)
-    lags = ft.lag_features_dense(panel, blocks.monthly).filter(F.year("event").isin(years))
-    active = panel.select("id", F.col("year").alias("_year")).distinct()
-    lags = (
-        lags.withColumn("_year", F.year("event"))
-        .join(active, ["id", "_year"], "left_semi")
-        .drop("_year")
-    )
+    lags = ft.lag_features_dense(panel, blocks.monthly, years=years, without=ds.event_months(rows))
     wide = ft.annual_features_dense(lags, statements(panel, blocks), blocks.annual)
     cells = blocks.features()
     healthy = pj.drop_empty_rows(wide, cells, len(cells) - 1).withColumn("status", F.lit(0))
-    return ds.monthly_sets(healthy, shared(rows), test_year)
+    return ds.month_table(healthy, shared(rows), test_year)
 
 
 def ratio_sets(

@@ -60,3 +60,25 @@ def test_monthly_sets(panel):
     assert {r.split for r in sets.select("split").distinct().collect()} == {"train", "test"}
     assert sets.filter(F.month("event") != F.col("month")).isEmpty()
     assert set(annual_names(["laik_tipas_pvm_M"])).isdisjoint(sets.columns)
+
+
+def test_monthly_sets_do_not_move_wide_rows(spark, panel):
+    events = settle(co.event_rows(panel, 1995), "events")
+    years = [1999, 2000]
+    blocks = co.Blocks.of(panel, healthy=True)
+    sets = co.monthly_sets(panel, events, years, 2000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = co.monthly_sets(panel, events, years, 2000)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan[: plan.index("Window [")]
+    # The same controls by joins with the wide rows.
+    lags = co.ft.lag_features_dense(panel, blocks.monthly).withColumn("year", F.year("event"))
+    lags = lags.filter(F.col("year").isin(years)).join(panel.select("id", "year").distinct(), ["id", "year"], "left_semi")
+    wide = co.ft.annual_features(lags.drop("year"), co.statements(panel, blocks), blocks.annual)
+    cells = blocks.features()
+    healthy = co.pj.drop_empty_rows(wide, cells, len(cells) - 1).withColumn("status", F.lit(0))
+    want = co.ds.monthly_sets(healthy, co.shared(events), 2000)
+    key = [F.count("*"), F.sum(F.xxhash64(*sorted(want.columns)).cast("decimal(38,0)"))]
+    assert sets.agg(*key).first() == want.agg(*key).first()

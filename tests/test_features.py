@@ -89,3 +89,24 @@ def test_dense_rows_move_once(spark):
         assert "Exchange" not in above_window
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_dense_rows_of_asked_months(spark):
+    p = _panel(spark, ["1900-01", "2016-01", "2016-11", "2017-03", "2018-11"]).unionByName(
+        _panel(spark, ["2017-06", "2018-06"], id=2)
+    )
+    off = spark.createDataFrame([(2, 6), (2, 6), (2, 7), (3, 1)], "id long, month int")
+    got = ft.lag_features_dense(p, ["v"], years=[2016, 2018], without=off)
+    active = p.select("id", F.year("period").alias("y")).distinct()
+    want = (
+        ft.lag_features_dense(p, ["v"]).withColumn("y", F.year("event")).filter(F.col("y").isin(2016, 2018))
+        .join(active, ["id", "y"], "left_semi").drop("y").withColumn("month", F.month("event"))
+        .join(off, ["id", "month"], "left_anti").drop("month")
+    )
+    assert rows(got, *want.columns) == rows(want)
+    assert got.count() == 12 + 11 + 9  # the calendar ends in 2018-11
+
+
+def test_dense_rows_outside_the_panel(spark):
+    assert ft.lag_features_dense(_panel(spark, ["2016-01"]), ["v"], years=[2020]).isEmpty()
+    assert ft.lag_features_dense(_panel(spark, ["2016-01"]).limit(0), ["v"]).isEmpty()
