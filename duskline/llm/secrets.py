@@ -11,12 +11,13 @@ from duskline.sources.scratch import settle
 #: The base patterns, in the order in which spans with one start are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
-#: Further shapes of credentials, taken only if few own them.
+#: Further shapes of credentials, taken only if few own them. Starts are bounded or
+#: kept to the start of a run, so a very long run of letters is read once and not from each place.
 EXTRA = {
-    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "forge": r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})",
     "pem": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----",
-    "url": r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]{6,}@[A-Za-z0-9.-]+",
+    "url": r"[a-z][a-z0-9+.-]{1,30}://[^\s:/@]++:[^\s:/@]{6,}+@[A-Za-z0-9.-]+",
     "mixed": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}",
 }
 MIN_VALUE = 8
