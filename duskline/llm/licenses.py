@@ -76,7 +76,7 @@ def license_marks(
     """
     spark = docs.sparkSession
     row = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words(F.col(text)).alias("w")
+        F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words(F.col(text), only_ascii=True).alias("w")
     )
     grams = row.select("row", "key", F.size("w").cast("long").alias("n_words"), shingles(F.col("w"), k).alias("g"))
     grams = grams.select("row", "key", "n_words", F.posexplode_outer("g").alias("pos", "gram"))

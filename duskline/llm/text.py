@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Everything below U+0080 that is no digit and no lower-case letter separates words.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -13,9 +14,10 @@ def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def words(text: Column) -> Column:
-    """Lower-case words of the whole text, in order."""
-    return F.array_remove(F.split(F.lower(whole(text)), WORD_GAP), "")
+def words(text: Column, only_ascii: bool = False) -> Column:
+    """Lower-case words of the whole text, in order; with ``only_ascii`` just A-Z are lower-cased."""
+    lower = F.translate(whole(text), UPPER, UPPER.lower()) if only_ascii else F.lower(whole(text))
+    return F.array_remove(F.split(lower, WORD_GAP), "")
 
 
 def _runs(tokens: Column, k: int, make, kind: str) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from duskline.llm.catalog import query, table
+from duskline.llm.text import UPPER
 
 #: Fixed values: (verdict, host, path) of each rule.
 RULES = [
@@ -34,8 +35,7 @@ def url_parts(url: Column) -> tuple[Column, Column, Column]:
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(host, upper, lower), path, rest
+    return F.translate(host, UPPER, UPPER.lower()), path, rest
 
 
 def ruled(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
