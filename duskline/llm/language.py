@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duskline.llm.catalog import query, table
 from duskline.llm.text import spare
+from duskline.sources.scratch import settle
 
 #: Orders of the character n-grams, and the buckets that they share.
 ORDERS = (1, 2, 3, 4)
@@ -55,8 +56,6 @@ class Model:
 
     def __init__(self, counts: pd.DataFrame):
         self.languages = sorted(counts["lang"].unique())
-        if len(self.languages) > MAX_LANGUAGES:
-            raise ValueError(f"{len(self.languages)} languages; the model is bounded to {MAX_LANGUAGES}")
         grams = np.zeros((BUCKETS + 1, len(self.languages)))
         at = {name: i for i, name in enumerate(self.languages)}
         grams[counts["bucket"].to_numpy(), counts["lang"].map(at).to_numpy(dtype=int)] = counts["n"]
@@ -82,11 +81,19 @@ def learn(
     """Count n-grams by language over all labelled documents outside the held-out fold.
 
     Each task adds up its documents to one count per language and bucket, Spark adds those, and
-    the sums, bounded by languages times buckets, make the model.
+    the sums, bounded by languages times buckets, make the model. More than ``MAX_LANGUAGES``
+    languages are an error before anything is collected.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
+
+        def added() -> Iterator[pd.DataFrame]:
+            for name, total in sums.items():
+                used = np.flatnonzero(total)
+                yield pd.DataFrame({"lang": name, "bucket": used, "n": total[used]})
+            sums.clear()
+
         for batch in batches:
             for name, whole in zip(batch["lang"], batch["text"]):
                 found = _counts(whole)
@@ -94,16 +101,20 @@ def learn(
                     total = sums.setdefault(name, np.zeros(BUCKETS + 1, dtype=np.int64))
                     total[:-1] += found
                     total[-1] += 1
-        for name, total in sums.items():
-            used = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": name, "bucket": used, "n": total[used]})
+                    if len(sums) > MAX_LANGUAGES:
+                        yield from added()
+        yield from added()
 
     rows = docs.filter(~_held_out(key, folds) & F.col(key).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     )
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sums = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket")
-    return Model(sums.agg(F.sum("n").alias("n")).toPandas())
+    sums = settle(sums.agg(F.sum("n").alias("n")), "language_counts")
+    languages = sums.select("lang").distinct().count()
+    if languages > MAX_LANGUAGES:
+        raise ValueError(f"{languages} languages; the model is bounded to {MAX_LANGUAGES}")
+    return Model(sums.toPandas())
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> Column:
