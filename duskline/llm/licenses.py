@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from duskline.llm.catalog import query, table
 from duskline.llm.text import shingles, words
+from duskline.sources.scratch import settle
 
 K = 3
-#: Diagonals this far apart belong to one occurrence: that many words were put in or left out.
+#: An occurrence may be this many words longer than its template's words over ``COVERAGE``.
 BAND = 4
-#: Share of a template's k-grams that an occurrence must have.
+#: Share of a template's words that an occurrence must have, in their order.
 COVERAGE = 0.8
+#: A matched word is worth this many words put in between.
+WORTH = 8
 
 #: Phrases whose words must stand consecutively.
 PHRASES = {
@@ -46,14 +51,69 @@ NOTICES = {
 }
 
 
+def templates() -> list[tuple[int, str, str, bool]]:
+    """(template, words, label, base) of every phrase and notice."""
+    return [(i, text, label, text in PHRASES) for i, (text, label) in enumerate([*PHRASES.items(), *NOTICES.items()])]
+
+
 def template_grams(spark: SparkSession, k: int = K) -> DataFrame:
-    """(gram, template, label, base, n_grams, at): every k-gram of every template."""
-    listed = [(i, text, label, text in PHRASES) for i, (text, label) in enumerate([*PHRASES.items(), *NOTICES.items()])]
-    cut = spark.createDataFrame(listed, "template int, t string, label string, base boolean")
-    cut = cut.withColumn("w", F.split("t", " ")).select("template", "label", "base", shingles(F.col("w"), k).alias("g"))
-    return cut.select(
-        "template", "label", "base", F.size("g").alias("n_grams"), F.posexplode("g").alias("at", "gram")
-    ).withColumn("h", F.xxhash64("gram"))
+    """(template, label, base, t, n_grams, at, gram): every k-gram of every template with its words."""
+    cut = spark.createDataFrame(templates(), "template int, text string, label string, base boolean")
+    cut = cut.withColumn("t", F.split("text", " ")).withColumn("g", shingles(F.col("t"), k))
+    return cut.select("template", "label", "base", "t", F.size("g").alias("n_grams"), F.posexplode("g").alias("at", "gram"))
+
+
+def _aligned(text: Column, first: Column, template: Column) -> Column:
+    """struct(u, matched, start, last): the best run of template words that the text has in order.
+
+    A matched word adds ``WORTH``, a text word put in between costs one, a template word left out
+    nothing but the match. One cell per template word holds the best alignment that ends there;
+    ``q`` is its value plus the place of its last word, so cells need no update while text passes.
+    """
+    cell = "struct<q:int,start:int,best:struct<u:int,matched:int,start:int,last:int>>"
+    gain = WORTH + 1
+    none = F.transform(template, lambda _: F.lit(None).cast(cell))
+    placed = F.transform(text, lambda word, i: F.struct((first + i).cast("int").alias("p"), word.alias("word")))
+
+    def reached(cells, c, j, p):
+        before = F.array_max(F.transform(F.slice(cells, 1, j), lambda b: F.when(b.isNotNull(), F.struct(b["q"], b["start"]))))
+        from_ = F.greatest(before, F.struct(p.alias("q"), p.alias("start")))
+
+        def extended(f):
+            q = f["q"] + gain
+            found = F.struct(
+                (q - p).alias("u"), ((q - f["start"]) / gain).cast("int").alias("matched"), f["start"].alias("start"), p.alias("last")
+            )
+            better = c.isNull() | (q > c["q"])
+            return F.struct(
+                F.when(better, q).otherwise(c["q"]).alias("q"),
+                F.when(better, f["start"]).otherwise(c["start"]).alias("start"),
+                F.greatest(c["best"], found).alias("best"),
+            ).cast(cell)
+
+        return F.element_at(F.transform(F.array(from_), extended), 1)
+
+    def step(cells, x):
+        update = lambda c, j: F.when(F.get(template, j) == x["word"], reached(cells, c, j, x["p"])).otherwise(c)
+        return F.when(F.array_contains(template, x["word"]), F.transform(cells, update)).otherwise(cells)
+
+    return F.aggregate(placed, none, step, lambda cells: F.array_max(F.transform(cells, lambda c: c["best"])))
+
+
+_SPAN = "struct<share:double,matched:int,start:int,last:int,label:string>"
+
+
+def _best_of_overlapping(spans: Column) -> Column:
+    """The spans, best-covered first, that do not share half of the shorter one's words with a better one."""
+
+    def clash(a, b):
+        shared = F.least(a["last"], b["last"]) - F.greatest(a["start"], b["start"]) + 1
+        return 2 * shared > F.least(a["last"] - a["start"], b["last"] - b["start"]) + 1
+
+    def step(kept, s):
+        return F.when(F.exists(kept, lambda a: clash(a, s)), kept).otherwise(F.concat(kept, F.array(s)))
+
+    return F.aggregate(F.sort_array(spans, asc=False), F.array().cast(f"array<{_SPAN}>"), step)
 
 
 def license_marks(
@@ -62,64 +122,103 @@ def license_marks(
     """One row per row of ``docs``: key, n_words, n_base, first_word, last_word, base_labels,
     labels, score, n_spans.
 
-    Every k-gram of the text is hashed and joined with the positions of the templates; a match
-    is verified by the gram itself and votes for its diagonal, text position minus template
-    position. A template that stands there word for word fills its diagonal, which gives the
-    exact places of the base phrases. Neighbouring diagonals are merged, so a notice with words
-    added or missing is one span; it counts if it holds ``coverage`` of the template's grams
-    within a length that fits. ``score`` is the largest share of a template that was found.
+    Every k-gram of the text that a template has votes for its diagonal, text position minus
+    template position. A phrase that stands there word for word fills its diagonal, which gives
+    the exact places of the base phrases. For a notice, each diagonal with a vote is verified
+    against the words of the text there: template words are matched in order, each once, so one
+    edit costs one word. A span counts if it has ``coverage`` of the template's words within a
+    length that fits. Where spans overlap the best-covered one stays, of equals the longer: an
+    LGPL notice is no GPL notice. A CC notice whose one distinguishing word was changed has all
+    words of CC BY and is that. ``score`` is the largest share of a template that was found,
+    ``n_spans`` the number of base phrases and notices.
 
     Null or empty text has no words and no labels; labels that are missing are an empty string,
     places null. A null or repeated key is kept row by row; an empty table gives no rows; other
-    columns are not read. The join's build side is the templates above, a fixed list; of the
-    document side only counts per diagonal are shuffled, a row per document if nothing matched.
+    columns are not read. Only the surroundings of known k-grams leave the scan and are written
+    once, a row per document if nothing matched; the join's build side is the fixed list above.
     """
     spark = docs.sparkSession
+    known = sorted({" ".join(w[i : i + k]) for _, t, _, _ in templates() for w in [t.split()] for i in range(len(w) - k + 1)})
+    longest = max(len(t.split()) for _, t, _, _ in templates())
+    reach = math.ceil(longest / coverage) + band + longest
     row = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words(F.col(text), only_ascii=True).alias("w")
     )
-    grams = row.select("row", "key", F.size("w").cast("long").alias("n_words"), shingles(F.col("w"), k).alias("g"))
-    grams = grams.select("row", "key", "n_words", F.posexplode_outer("g").alias("pos", "gram"))
-    known = template_grams(spark, k).withColumnsRenamed({"gram": "known_gram", "h": "known_h"})
-    hits = grams.withColumn("h", F.xxhash64("gram")).join(
-        F.broadcast(known), (F.col("h") == F.col("known_h")) & (F.col("gram") == F.col("known_gram")), "left"
+    grams = row.withColumn("g", shingles(F.col("w"), k))
+    number = F.sequence(F.lit(0), F.size("g") - 1)
+    held = F.filter(number, lambda i: F.get(F.col("g"), i).isin(known))
+    hits = grams.select("row", "key", "w", F.when(F.size("g") > 0, held).otherwise(F.array().cast("array<int>")).alias("hits"))
+    at = F.col("hits")
+    opens = F.filter(at, lambda x, i: (i == 0) | (x - F.get(at, i - 1) > reach))
+    closes = F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) - x > reach))
+    ends = hits.select("row", "key", "w", F.arrays_zip(opens.alias("low"), closes.alias("high")).alias("ends"))
+
+    def around(e):
+        first = F.greatest(e["low"] - reach, F.lit(0))
+        part = F.slice(F.col("w"), first + 1, e["high"] + (k + reach) - first)
+        return F.struct(first.alias("first"), e["low"].alias("low"), e["high"].alias("high"), part.alias("part"))
+
+    parts = ends.select(
+        "row", "key", F.size("w").cast("long").alias("n_words"), F.explode_outer(F.transform("ends", around)).alias("r")
+    ).select("row", "key", "n_words", "r.*")
+    parts = settle(parts, "license_parts")
+    found = parts.filter("low IS NOT NULL").select(
+        "row", "first", "low", "high", F.posexplode(shingles(F.col("part"), k)).alias("pos", "gram")
     )
-    one = ["row", "key", "n_words"]
+    found = found.withColumn("pos", F.col("pos") + F.col("first")).filter("pos BETWEEN low AND high")
     template = ["template", "label", "base", "n_grams"]
-    votes = hits.groupBy(*one, *template, (F.col("pos") - F.col("at")).cast("long").alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high")
-    )
-    along = Window.partitionBy("row", "template").orderBy("diagonal")
-    gap = F.col("diagonal") - F.lag("diagonal").over(along) > band
+    votes = found.join(F.broadcast(template_grams(spark, k)), "gram").groupBy(
+        "row", "first", *template, "t", (F.col("pos") - F.col("at")).alias("diagonal")
+    ).agg(F.count("*").alias("votes"))
+
     exact = F.col("votes") == F.col("n_grams")
-    spans = (
-        votes.withColumn("new", F.when(gap, 1).otherwise(0))
-        .withColumn("span", F.sum("new").over(along))
-        .groupBy(*one, *template, "span")
-        .agg(
-            F.sum("votes").alias("votes"),
-            F.min("low").alias("low"),
-            F.max("high").alias("high"),
-            F.count_if(exact).alias("n_exact"),
-            F.min(F.when(exact, F.col("diagonal"))).alias("first"),
-            F.max(F.when(exact, F.col("diagonal"))).alias("last"),
-        )
+    phrases = votes.filter("base").groupBy("row").agg(
+        F.count_if(exact).alias("n_base"),
+        F.min(F.when(exact, F.col("diagonal"))).cast("long").alias("first_word"),
+        F.max(F.when(exact, F.col("diagonal"))).cast("long").alias("last_word"),
+        F.collect_set(F.when(exact, F.col("label"))).alias("base"),
+        F.max(F.col("votes") / F.col("n_grams")).alias("base_share"),
+    )
+
+    # From the words that may be left out before a diagonal to the longest length that fits.
+    n = F.size("t")
+    fits = F.floor(n / F.lit(coverage)).cast("int") + band
+    begin = F.greatest(F.col("diagonal") - F.ceil(n * F.lit(1 - coverage)).cast("int") - band, F.col("first"))
+    window = F.slice("part", begin - F.col("first") + 1, F.col("diagonal") + fits + band - begin)
+    asked = votes.filter("NOT base").select("row", "first", "template", "label", "t", "diagonal")
+    asked = asked.join(parts.select("row", "first", "part"), ["row", "first"])
+    asked = asked.select("row", "template", "label", "t", begin.alias("begin"), window.alias("window"))
+    asked = asked.withColumn("s", _aligned(F.col("window"), F.col("begin"), F.col("t")))
+    share = F.when(F.col("s.last") - F.col("s.start") + 1 <= fits, F.col("s.matched") / n).otherwise(F.lit(0.0))
+    spans = asked.select("row", "label", "template", "s.matched", "s.start", "s.last", share.alias("share")).distinct()
+    # Spans that overlap, also through others, are one cluster.
+    before = Window.partitionBy("row").orderBy("start", "last", "template").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("row").orderBy("start", "last", "template").rowsBetween(Window.unboundedPreceding, 0)
+    good = spans.filter(F.col("share") >= coverage)
+    good = good.withColumn("new", F.when(F.col("start") > F.max("last").over(before), 1).otherwise(0))
+    good = good.withColumn("cluster", F.sum("new").over(upto))
+    one = F.struct("share", "matched", "start", "last", "label")
+    kept = good.groupBy("row", "cluster").agg(_best_of_overlapping(F.collect_list(one)).alias("kept"))
+    kept = kept.select("row", F.explode("kept.label").alias("label")).groupBy("row").agg(
+        F.collect_set("label").alias("notices"), F.count("*").alias("n_notices")
+    )
+    best = spans.groupBy("row").agg(F.max("share").alias("share"))
+    rows = parts.groupBy("row", "key", "n_words").agg(F.lit(1).alias("one"))
+    none = F.array().cast("array<string>")
+    base = F.coalesce("base", none)
+    n_base = F.coalesce("n_base", F.lit(0))
+    joined = lambda labels: F.array_join(F.sort_array(labels), ",")
+    return rows.join(phrases, "row", "left").join(kept, "row", "left").join(best, "row", "left").select(
+        F.col("key").alias(key),
+        "n_words",
+        n_base.alias("n_base"),
+        "first_word",
+        "last_word",
+        joined(base).alias("base_labels"),
+        joined(F.array_union(base, F.coalesce("notices", none))).alias("labels"),
+        F.greatest(F.coalesce("base_share", F.lit(0.0)), F.coalesce("share", F.lit(0.0))).alias("score"),
+        (n_base + F.coalesce("n_notices", F.lit(0))).alias("n_spans"),
     )
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))
-    fits = F.col("high") - F.col("low") + 1 <= F.col("n_grams") / F.lit(coverage) + band
-    share = F.when((F.col("n_exact") > 0), F.lit(1.0)).when(fits, share).otherwise(F.lit(0.0))
-    spans = spans.withColumn("share", F.coalesce(share, F.lit(0.0)))
-    base = F.col("base") & (F.col("n_exact") > 0)
-    listed = lambda on: F.array_join(F.sort_array(F.collect_set(F.when(on, F.col("label")))), ",")
-    return spans.groupBy(*one).agg(
-        F.coalesce(F.sum(F.when(base, F.col("n_exact"))), F.lit(0)).alias("n_base"),
-        F.min(F.when(base, F.col("first"))).alias("first_word"),
-        F.max(F.when(base, F.col("last"))).alias("last_word"),
-        listed(base).alias("base_labels"),
-        listed(F.col("share") >= coverage).alias("labels"),
-        F.max("share").alias("score"),
-        F.count_if(F.col("share") >= coverage).alias("n_spans"),
-    ).select(F.col("key").alias(key), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_spans")
 
 
 @query("op2_license_scan")

@@ -44,6 +44,30 @@ def test_edited_notice_and_adjacent_phrases(spark):
     assert found[3]["labels"] == found[4]["labels"] == ""
 
 
+def test_every_notice_exact_and_with_one_edit(spark):
+    rows, expected = [], {}
+    for notice, label in licenses.NOTICES.items():
+        w = notice.split()
+        edits = [w]
+        for i in range(len(w)):
+            edits += [w[:i] + ["qqq"] + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + ["qqq"] + w[i:]]
+        for e in edits:
+            # Without the word that tells it from CC BY, a notice has all words of CC BY.
+            special = {"cc-by-sa": "sharealike", "cc-by-nc": "noncommercial"}.get(label)
+            expected[len(rows)] = "cc-by" if special and special not in e else label
+            rows.append((len(rows), f"Some words before it. {' '.join(e)} and the words after of it"))
+    found = licenses.license_marks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in found} == expected
+    assert {r["n_spans"] - r["n_base"] for r in found} == {1}
+
+
+def test_notices_side_by_side_and_apart(spark):
+    of = {label: t for t, label in licenses.NOTICES.items()}
+    both = f"{of['gpl']} {of['lgpl']} " + "filler " * 300 + of["cc-by"] + " " + of["cc-by"]
+    r = licenses.license_marks(spark.createDataFrame([(1, both)], "doc_id long, text string")).head()
+    assert (r["labels"], r["n_spans"], r["score"]) == ("cc-by,gpl,lgpl", 4, 1.0)
+
+
 def plain_spans(text):
     spans = [("assign", m.start(), m.end()) for m in re.finditer(
         r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A
