@@ -21,8 +21,12 @@ EXTRA = {
     "mixed": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}",
 }
 MIN_VALUE = 8
-#: A value that more owners have is a copied example.
+#: A value that more owners have in more repositories, or that two more owners have, is a copied
+#: example.
 MAX_OWNERS = 1
+MAX_REPOSITORIES = 4
+#: So is one in more repositories than these, whoever owns them.
+MAX_OWN = 20
 _SPAN = "struct<kind:string,rank:int,start:bigint,end:bigint,value:bigint>"
 
 
@@ -74,21 +78,26 @@ def secret_spans(
     owner: str = "source",
     text: str = "text",
     max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
+    max_own: int = MAX_OWN,
 ) -> DataFrame:
     """One row per row of ``docs``: key, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
 
     Base spans always stay. Candidates of further shapes, and the values of the base spans, are
-    hashed and counted over the whole corpus by distinct repositories and owners: a value that
-    more than ``max_owners`` owners have is an example that was copied around, one that a single
-    owner has looks live. Only live further candidates are added. ``n_live`` and ``n_copied`` count
+    hashed and counted over the whole corpus by distinct repositories and owners, where copies of
+    one text are in one repository, the least of theirs. A value is an example that was copied
+    around if more than ``max_owners`` owners have it in more than ``max_repositories``
+    repositories, if more than ``max_owners`` + 1 owners have it, or if it is in more than
+    ``max_own`` repositories. Any other looks live, so also one whose document was copied to a
+    second owner. Only live further candidates are added. ``n_live`` and ``n_copied`` count
     a document's spans, of all kinds, by that verdict.
 
     Null text is empty and has no spans; the digest is then that of an empty string. A null owner
     or repository is one of its own. Rows that repeat a key are kept row by row but are one
     repository; an empty table gives no rows; other columns are not read.
 
-    Spans, without texts, are written once. Counting pre-aggregates by value, owner and
-    repository, so a value that a third of all documents share is a few rows per task; the
+    Spans, without texts, are written once. Counting pre-aggregates by value, text,
+    owner and repository, so a value that a third of all documents share is a few rows per task; the
     verdicts are one row per value and are joined with the spans only.
     """
     body = whole(F.col("t"))
@@ -98,15 +107,19 @@ def secret_spans(
             F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
             F.col(repository).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"),
             F.col(text).alias("t"),
-        ).select("row", "key", "repo", "owner", F.concat(*found).alias("spans")),
+        ).select("row", "key", "repo", "owner", F.xxhash64(body).alias("copy"), F.concat(*found).alias("spans")),
         "secret_spans",
     )
-    spotted = rows.filter(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("s"))
-    each = spotted.groupBy(F.col("s.value").alias("value"), "owner", "repo").agg(F.lit(1).alias("one"))
-    by_owner = each.groupBy("value", "owner").agg(F.count("*").alias("repos"))
-    owned = by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    owned = settle(owned.select("value", (F.col("owners") <= max_owners).alias("live")), "ownership")
-    judged = spotted.select("row", "s", F.col("s.value").alias("value")).join(owned, "value")
+    spotted = rows.filter(F.size("spans") > 0).select("row", "repo", "owner", "copy", F.explode("spans").alias("s"))
+    valued = spotted.withColumn("value", F.col("s.value"))
+    owners = valued.groupBy("value", "owner").agg(F.lit(1).alias("one")).groupBy("value").agg(F.count("*").alias("owners"))
+    texts = valued.groupBy("value", "copy").agg(F.min(F.struct("owner", "repo")).alias("place"))
+    places = texts.groupBy("value", "place").agg(F.lit(1).alias("one"))
+    repos = places.groupBy("value").agg(F.count("*").alias("repos"))
+    shared = (F.col("owners") > max_owners) & (F.col("repos") > max_repositories)
+    copied = shared | (F.col("owners") > max_owners + 1) | (F.col("repos") > max_own)
+    owned = settle(owners.join(repos, "value").select("value", (~copied).alias("live")), "ownership")
+    judged = valued.select("row", "s", "value").join(owned, "value")
     judged = judged.groupBy("row").agg(F.collect_list(F.struct("s.*", "live")).alias("judged"))
     is_base = lambda s: s["rank"] < len(BASE)
     base = F.filter("spans", is_base)
