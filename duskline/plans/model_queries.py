@@ -18,7 +18,7 @@ from duskline.operators.smote import smote
 from duskline.plans import fixtures as fx
 from duskline.plans.catalog import query
 from duskline.plans.oracle_views import seeded, slot_of
-from duskline.plans.sampling_queries import CASES, RATIOS, case_control, event_rows, matched_ratios, monthly_sets
+from duskline.plans.sampling_queries import CASES, RATIOS, case_control, event_rows, matched_ratios, month_rows
 from duskline.sources import panel_io as io
 from duskline.sources.scratch import scratch_path, settle
 
@@ -94,19 +94,19 @@ def importance_matrix_query(spark, sf):
 def ratio_sweep(spark, sf):
     """Every class ratio x thresholds x test months, as rows of kept metrics."""
     ratios = RATIOS
-    p = settle(fx.panel(spark, sf), "panel")
-    names = ft.lag_names(fx.METRICS)
+    p = fx.settled_panel(spark, sf)
     anchors = matched_ratios(spark, sf, ratios, p).withColumn("status", F.lit(0))
-    controls = ft.lag_features(settle(anchors, "anchors"), p, fx.METRICS)
-    events = event_rows(spark, sf, p, fx.METRICS)
+    annual = fx.annual(spark, sf, p)
+    controls = ft.feature_rows(settle(anchors, "anchors"), p, fx.METRICS, annual, fx.ANNUAL)
+    events = event_rows(spark, sf, p, fx.METRICS, fx.ANNUAL)
     many = F.explode(F.array(*[F.lit(r) for r in ratios]))
     rows = controls.unionByName(events.withColumn("ratio", many))
-    rows = fr.prepare(rows, names, ["ratio", "id", "event", "status"], "ratios")
+    rows = fr.prepare(rows, FEATURES, ["ratio", "id", "event", "status"], "ratios")
     train = rows.filter(F.year("event") != fx.TEST_YEAR)
     test = rows.filter((F.year("event") == fx.TEST_YEAR) & (F.col("ratio") == max(ratios)))
     sets = {f"DISB_{r}": train.filter(F.col("ratio") == r) for r in ratios}
     _, tested, _ = fr.sweep(
-        sets, test.withColumn("month", F.month("event")), len(names), ["id", "month"]
+        sets, test.withColumn("month", F.month("event")), len(FEATURES), ["id", "month"]
     )
     cm = cf.threshold_sweep(tested, [0.2, 0.4, 0.6, 0.8], ["model", "month"])
     long = cf.long_metrics(cf.class_metrics(cm), ["model", "month", "threshold"])
@@ -116,9 +116,10 @@ def ratio_sweep(spark, sf):
 @query("month_models")
 def month_models(spark, sf):
     """Each calendar month's model against the year's, on that month of the test year."""
-    names = ft.lag_names(["n"])
-    rows = fr.prepare(monthly_sets(spark, sf), names, ["id", "event", "month", "split", "status"], "months")
-    _, tested, _ = fr.month_sweep(rows, len(names))
+    p = fx.settled_panel(spark, sf)
+    sets = month_rows(spark, sf, p, fx.METRICS, fx.ANNUAL)
+    rows = fr.prepare(sets, FEATURES, ["id", "event", "month", "split", "status"], "months")
+    _, tested, _ = fr.month_sweep(rows, len(FEATURES))
     tested = tested.withColumn("model", F.when(F.col("model") == "year", "year").otherwise("month"))
     return cf.compare_models(tested, 0.35, ["month"])
 

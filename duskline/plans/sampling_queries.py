@@ -325,9 +325,16 @@ HD AS (SELECT id, event, {_LAG_N}, 0 AS status FROM DL WHERE {" + ".join(f"n_M_{
 )
 def monthly_sets(spark, sf):
     """Every customer at every month against the events of that calendar month."""
-    p = fx.panel(spark, sf)
-    healthy = filled_rows(ft.lag_features_dense(p, ["n"]), ["n"]).withColumn("status", F.lit(0))
-    return ds.monthly_sets(healthy, event_rows(spark, sf, p, ["n"]), fx.TEST_YEAR)
+    return month_rows(spark, sf, fx.panel(spark, sf), ["n"])
+
+
+def month_rows(spark, sf, p, metrics, annual_cols=()):
+    """The month sets with the lags of these metrics and these annual columns."""
+    healthy = filled_rows(ft.lag_features_dense(p, metrics), metrics)
+    if annual_cols:
+        healthy = ft.annual_features_dense(healthy, fx.annual(spark, sf, p), list(annual_cols))
+    events = event_rows(spark, sf, p, metrics, annual_cols)
+    return ds.monthly_sets(healthy.withColumn("status", F.lit(0)), events, fx.TEST_YEAR)
 
 
 @query(

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from duskline.models import forest as fr
 from duskline.plans import load
-from duskline.plans.sampling_queries import RATIOS
+from duskline.plans.sampling_queries import RATIOS, case_control
 
 QUERIES, _ = load()
 
@@ -40,6 +40,35 @@ def test_sweep_and_tuning_shapes(spark, tiny):
     assert len(grid) == 4 and (grid.log_loss > 0).all()
 
 
+@pytest.mark.parametrize("name, sweep", [("month_models", "month_sweep"), ("ratio_sweep", "sweep")])
+def test_sweeps_use_every_feature_of_case_control(spark, tiny, monkeypatch, name, sweep):
+    class Reached(Exception):
+        pass
+
+    prepare = fr.prepare
+    made = []
+
+    def record(rows, names, *more):
+        made.append((set(names), rows))
+        return prepare(rows, names, *more)
+
+    def stop(*args, **more):
+        raise Reached
+
+    monkeypatch.setattr(fr, "prepare", record)
+    monkeypatch.setattr(fr, sweep, stop)
+    with pytest.raises(Reached):
+        QUERIES[name](spark, tiny)
+    (names, rows) = made[0]
+    cases = case_control(spark, tiny)
+    assert names == set(cases.columns) - {"id", "event", "status"} and len(names) == 40
+    # An event has the cells it has there, controls have annual values as well.
+    cells = ["id", "event", *sorted(names)]
+    events = lambda df: {tuple(r) for r in df.filter("status = 1").select(*cells).collect()}
+    assert events(rows) == events(cases) != set()
+    assert not rows.filter("status = 0 AND sales_Y_1 <> 0").isEmpty()
+
+
 def test_months_without_two_classes_have_the_year_only(spark):
     rows = [
         (i, f"{1999 + (i % 4 == 0)}-{m:02d}-01", m, "test" if i % 4 == 0 else "train", int(i % 8 < 2 and m < 3), float(i % 8))
