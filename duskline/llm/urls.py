@@ -135,13 +135,15 @@ def judge_urls(
     log-likelihood difference per byte, so long URLs are not favoured. URLs without a rule are
     allowed from the threshold on.
 
-    A null URL or one without ``://`` has an empty host and path, no rule and score 0, and is
-    blocked. If the rules decide no URL of one class, there is no model: score 0, allowed.
+    A URL without ``://`` has an empty host and path and no rule; it, and one with nothing after
+    that, is scored as it stands. A null or empty URL has score 0 and is blocked. If the rules
+    decide no URL of one class, there is no model: score 0, allowed.
     Repeated rows each count and each give a row; an empty table gives none; long URLs are scored
     whole; other columns are not read.
     """
     host, path, rest = url_parts(F.col(url))
-    rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"), rest.alias("text"))
+    text = F.when(rest != "", rest).otherwise(F.coalesce(F.col(url), F.lit("")))
+    rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"), text.alias("text"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
     labelled = rows.filter(F.col("ruled").isNotNull()).select("text", (F.col("ruled") == "allow").alias("accepted"))
@@ -164,9 +166,9 @@ def judge_urls(
         found = score("text")
     else:
         threshold, found = 0.0, F.lit(0.0)
-    named = F.col("host") != ""
-    rows = rows.withColumn("score", F.when(named, found).otherwise(0.0))
-    by_model = F.when(named & (F.col("score") >= threshold), "allow").otherwise("block")
+    given = F.col("text") != ""
+    rows = rows.withColumn("score", F.when(given, found).otherwise(0.0))
+    by_model = F.when(given & (F.col("score") >= threshold), "allow").otherwise("block")
     return rows.select(
         F.col("key").alias(key), "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score"
     )

@@ -201,3 +201,14 @@ def test_url_model_separates_unruled_urls(spark):
     table = spark.createDataFrame([*good[2:], *bad, *((5000 + i, u) for i, u in new)], "page_id long, url string")
     found = {r["page_id"]: r for r in urls.judge_urls(table).collect()}
     assert found[5001]["verdict"] == "allow" and found[5002]["verdict"] == "block"
+
+
+def test_urls_without_a_scheme_reach_the_model(spark):
+    good = [(i, f"http://a{i}.example.net/en/article-{i}") for i in range(200)]
+    bad = [(1000 + i, f"http://b{i}.example.com/de/casino-{i}") for i in range(200)]
+    new = [(1, "a77.example.net/en/article-77"), (2, "b77.example.com/de/casino-77"), (3, ""), (4, None), (5, "file:///en/article-77")]
+    table = spark.createDataFrame([*good, *bad, *((5000 + i, u) for i, u in new)], "page_id long, url string")
+    found = {r["page_id"] - 5000: r for r in urls.judge_urls(table).collect()}
+    assert [found[i]["verdict"] for i in (1, 2, 3, 4, 5)] == ["allow", "block", "block", "block", "allow"]
+    assert found[1]["score"] > 0 > found[2]["score"] and found[3]["score"] == found[4]["score"] == 0
+    assert {(found[i]["host"], found[i]["rule"]) for i in (1, 2, 3, 4)} == {("", None)}
