@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from duskline.llm import decontaminate, language, licenses, linespread, mixing, secrets, simhash, spotsigs, surrogates, urls  # noqa: F401
+from duskline.llm import (  # noqa: F401
+    decontaminate, divergence, language, licenses, linespread, merkle, mixing, secrets, simhash, spotsigs, surrogates, tokens, urls,
+)
 from duskline.llm.catalog import ORACLES, QUERIES
 
 

@@ -1,17 +1,18 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing extra columns."""
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from duskline.llm import (
-    decontaminate, language, licenses, linespread, mixing, secrets, simhash, spotsigs, surrogates, urls,
+    decontaminate, divergence, language, licenses, linespread, merkle, mixing, secrets, simhash, spotsigs, surrogates, tokens, urls,
 )
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = """
     key h row _tk _s t w n g k site text_key item part lines d x r i c f a b s p u v m o own group label gram pos at votes
     span kind entity attempt hit hits tries copy shuffle_key n_entities kinds lines_removed n_removed score lang_pred
-    held_out fingerprint component_id need hs shingle head ahead before rate weight size rank value owner repo line
+    held_out fingerprint component_id n_bytes n_tokens over_limit leaf now root block zero cells price need hs shingle head ahead before rate weight size rank value owner repo line
 """.split()
 LONG = "under the mit license " * 20_000 + "\nend"
 ROWS = [
@@ -38,9 +39,12 @@ OPERATORS = {
     "one_of_each": simhash.one_of_each,
     "spotsigs": spotsigs.fingerprints_with_edits,
     "spotsig_pairs": spotsigs.near_pairs,
+    "tokens": lambda d: tokens.token_counts(d, public_tokenizers.path("word_bpe_49k.json")),
+    "divergence": lambda d: divergence.audit(d, min_docs=1),
+    "merkle": merkle.tampered_check,
     "lines": lambda d: linespread.drop_spread_lines(d, min_sites=2, count="n_removed"),
 }
-ROW_BY_ROW = ["licenses", "language", "secrets", "surrogates", "urls", "simhash", "spotsigs", "lines"]
+ROW_BY_ROW = ["licenses", "language", "secrets", "surrogates", "urls", "simhash", "spotsigs", "lines", "tokens", "merkle"]
 
 
 def items(spark):

@@ -15,7 +15,7 @@ def test_matches_sql(spark, tiny, name):
 
 def test_one_query_per_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.split("_")[0] in {"op2", "op4", "op5", "op10"}))
