@@ -241,7 +241,7 @@ def checked(made: Manifest, now: str) -> DataFrame:
     ``folded_root`` is what they give with the digest in column ``now``, or the leaf where that is null.
     """
     height = made.height
-    start = made.root().select(F.lit("").alias("part"), F.lit("").alias("sides"), F.lit("").alias("siblings"), "root")
+    start = made.top[-1].select("part", F.lit("").alias("sides"), F.lit("").alias("siblings"), "root")
     tops = _descend(made.top, start, height).select("part", F.col("block").alias("i"), "sides", "siblings", "root")
     tops = tops.join(made.parts, ["part", "i"]).select(
         F.col("key").alias("part"), "sides", "siblings", F.col("leaf").alias("subroot"), "root"
