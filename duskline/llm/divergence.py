@@ -7,6 +7,9 @@ do not exist as rows; the others are joined pairwise and walked quadrant by quad
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -15,7 +18,10 @@ from duskline.llm.catalog import query, table
 from duskline.llm.text import UPPER, whole
 from duskline.sources.scratch import settle
 
-TERM_GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+TO_LOWER = str.maketrans(UPPER, UPPER.lower())
+#: Counts that a Python worker holds before it hands them on.
+HELD = 1 << 19
 MIN_DOCS = 30
 TOP = 50
 SCALE = 1_000_000_000
@@ -26,24 +32,43 @@ ROWS, COLUMNS = 32, 512
 LEAF = 4
 
 
-def terms(text: Column) -> Column:
+def terms(text: str) -> list[str]:
     """Runs of letters and of anything beyond ASCII, A-Z in lower case."""
-    return F.array_remove(F.split(F.translate(whole(text), UPPER, UPPER.lower()), TERM_GAP), "")
+    return TERM.findall(text.lower() if text.isascii() else text.translate(TO_LOWER))
+
+
+def _tallies(batches):
+    """Occurrences and documents of each term of a group, summed until ``HELD`` of them are held."""
+    kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("c", pa.int64()), ("docs", pa.int64())])
+    groups, held = {}, 0
+
+    def flushed():
+        for (lang, source), (count, docs) in groups.items():
+            columns = [[lang] * len(count), [source] * len(count), list(count), list(count.values()), [docs[t] for t in count]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kind.types)], schema=kind)
+
+    for batch in batches:
+        for lang, source, text in zip(*(column.to_pylist() for column in batch.columns)):
+            found = terms(text)
+            count, docs = groups.setdefault((lang, source), (Counter(), Counter()))
+            held -= len(count)
+            count.update(found)
+            docs.update(set(found))
+            held += len(count)
+            if held >= HELD:
+                yield from flushed()
+                groups, held = {}, 0
+    yield from flushed()
 
 
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """(lang, source, term, c, docs): occurrences of each term in each group and the documents that hold it.
 
-    A text gives each of its terms once per occurrence and once more as a document. Counts are summed
-    before they are shuffled, so a hot group or term is a row per task.
+    Counts are summed in the tasks before they are shuffled, so a hot group or term is a few rows per task.
     """
-    tag = lambda c, d: lambda t: F.struct(t.alias("term"), F.lit(c).alias("c"), F.lit(d).alias("d"))
-    rows = docs.select(whole(F.col(lang)).alias("lang"), whole(F.col(source)).alias("source"), terms(F.col(text)).alias("t"))
-    rows = rows.select(
-        "lang", "source",
-        F.inline(F.concat(F.transform("t", tag(1, 0)), F.transform(F.array_distinct("t"), tag(0, 1)))),
-    )
-    return rows.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("docs"))
+    rows = docs.select(*[whole(F.col(x)).alias(y) for x, y in ((lang, "lang"), (source, "source"), (text, "text"))])
+    rows = rows.mapInArrow(_tallies, "lang string, source string, term string, c bigint, docs bigint")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs"))
 
 
 def price(count: Column, total: Column, kept: Column) -> Column:
@@ -141,16 +166,20 @@ def distances(zero_a: np.ndarray, cells_a: np.ndarray, zero_b: np.ndarray, cells
 _PAIR = [("lang", pa.string()), ("lo", pa.int64()), ("i", pa.int32()), ("hi", pa.int64()), ("j", pa.int32()), ("value", pa.int64())]
 
 
+def _cells(block: pa.ListScalar) -> np.ndarray:
+    """Rows, columns and prices of a block; none for one that does not exist."""
+    if not block.is_valid:
+        return np.zeros((3, 0), dtype=np.int64)
+    return np.array([block.values.field(c).to_numpy().astype(np.int64) for c in ("r", "k", "p")])
+
+
 def _walk(batches):
     """Each pair of blocks of one stripe: what it adds to the distance of its groups, over all-zero."""
     kind = pa.schema(_PAIR)
     for batch in batches:
         for n in range(batch.num_rows):
-            (unit,) = batch.slice(n, 1).to_pylist()
-            cells = [
-                np.array([(x["r"], x["k"], x["p"]) for x in unit[side] or []], dtype=np.int64).reshape(-1, 3).T
-                for side in ("cells_lo", "cells_hi")
-            ]
+            (unit,) = batch.select(["lang", "lo", "hi", "width", "zero_lo", "zero_hi"]).slice(n, 1).to_pylist()
+            cells = [_cells(batch.column(side)[n]) for side in ("cells_lo", "cells_hi")]
             lo, hi = (np.array(unit[side], dtype=np.int64) for side in ("zero_lo", "zero_hi"))
             if unit["lo"] == unit["hi"]:
                 cells[1] = cells[0]
@@ -232,23 +261,24 @@ def audit(
     counts = settle(term_counts(docs, lang, source, text), "divergence_counts")
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("c").alias("whole"))
     kept = settle(kept.filter(F.col("docs") >= min_docs), "divergence_kept")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("n"))
+    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("all"))
     matrix = counts.select("lang", "source", "term", "c").join(kept.select("lang", "term", "whole"), ["lang", "term"])
     sums = matrix.groupBy("lang", "source").agg(F.sum("c").alias("n"))
     groups = docs.select(whole(F.col(lang)).alias("lang"), whole(F.col(source)).alias("source")).distinct()
-    groups = groups.join(sums, ["lang", "source"], "left").join(langs.select("lang", "v"), "lang", "left")
-    groups = groups.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"))
+    groups = groups.join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "v", "all")])
     groups = groups.withColumn("zero", F.coalesce(price(F.lit(0), F.col("n"), F.col("v")), F.lit(0)))
     groups = settle(groups, "divergence_groups")
-    matrix = matrix.join(groups.select("lang", "source", "n", "v"), ["lang", "source"])
-    matrix = matrix.select("lang", "source", "term", "whole", price(F.col("c"), F.col("n"), F.col("v")).alias("p"))
+    matrix = matrix.join(groups.select("lang", "source", "n", "v", "all"), ["lang", "source"])
+    matrix = matrix.select(
+        "lang", "source", "term", price(F.col("c"), F.col("n"), F.col("v")).alias("p"),
+        price(F.col("whole"), F.col("all"), F.col("v")).alias("q"),
+    )
     matrix = settle(matrix, "divergence_matrix")
-    pairs = _group_pairs(matrix.drop("whole"), groups, kept)
+    pairs = _group_pairs(matrix.drop("q"), groups, kept)
     ordered = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(ordered))
-    common = matrix.join(langs.select("lang", "v", F.col("n").alias("all")), "lang")
-    over = F.col("p") - price(F.col("whole"), F.col("all"), F.col("v"))
-    own = common.select("lang", "source", F.col("term").alias("item"), over.alias("value")).filter("value > 0")
+    own = matrix.select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value")).filter("value > 0")
     out = ranked(pairs).withColumn("part", F.lit("pair")).unionByName(
         ranked(own).filter(F.col("rank") <= top).withColumn("part", F.lit("term"))
     )
