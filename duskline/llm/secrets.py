@@ -13,14 +13,16 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 #: Further shapes of credentials, taken only if few own them. Starts are bounded or
 #: kept to the start of a run, so a very long run of letters is read once and not from each place.
+#: Only single characters are repeated without bound: the engine recurses on every round of a group.
 EXTRA = {
     "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "forge": r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})",
-    "pem": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----",
+    "pem": r"-----BEGIN (?:[A-Z0-9]{1,20}+ ){0,4}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END (?:[A-Z0-9]{1,20}+ ){0,4}PRIVATE KEY-----",
     "url": r"[a-z][a-z0-9+.-]{1,30}://[^\s:/@]++:[^\s:/@]{6,}+@[A-Za-z0-9.-]+",
     "mixed": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}",
 }
 MIN_VALUE = 8
+PIECE = 256
 #: A value that more owners have in more repositories, or that two more owners have, is a copied
 #: example.
 MAX_OWNERS = 1
@@ -34,10 +36,15 @@ def _spans(text: Column, kind: str, rank: int, pattern: str) -> Column:
     """array(struct(kind, rank, start, end, value)) of all matches, leftmost and not overlapping.
 
     The text between the matches and the matches themselves have the lengths that give the places.
+    They are added up within pieces of ``PIECE`` matches and then over the pieces, as a list that
+    is appended to is copied each time.
     """
     parts = F.arrays_zip(
         F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
     )
+    pieces = lambda x: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PIECE).cast("int")), lambda k: F.slice(x, k * PIECE + 1, PIECE)
+    )
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
@@ -56,8 +63,24 @@ def _spans(text: Column, kind: str, rank: int, pattern: str) -> Column:
         )
 
     none = F.array().cast(f"array<{_SPAN}>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
-    return F.when(F.regexp(text, F.lit(pattern)), F.aggregate(parts, start, step, lambda a: a["spans"])).otherwise(none)
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("at"), none.alias("spans"))
+    found = F.transform(F.flatten(F.transform(F.array(parts), pieces)), lambda piece: F.aggregate(piece, start, step))
+
+    def after(acc, piece):
+        moved = F.struct(acc["at"].alias("by"), piece["spans"].alias("spans"))
+        return F.struct(
+            (acc["at"] + piece["at"]).alias("at"), F.concat(acc["pieces"], F.array(moved)).alias("pieces")
+        )
+
+    empty = F.array().cast(f"array<struct<by:bigint,spans:array<{_SPAN}>>>")
+    placed = F.aggregate(found, F.struct(zero.alias("at"), empty.alias("pieces")), after, lambda acc: acc["pieces"])
+    shifted = lambda s, by: F.struct(
+        s["kind"].alias("kind"), s["rank"].alias("rank"), (s["start"] + by).alias("start"), (s["end"] + by).alias("end"),
+        s["value"].alias("value"),
+    )
+    spans = F.flatten(F.transform(placed, lambda x: F.transform(x["spans"], lambda s: shifted(s, x["by"]))))
+    return F.when(F.regexp(text, F.lit(pattern)), spans).otherwise(none)
 
 
 def _listed(spans: Column) -> Column:

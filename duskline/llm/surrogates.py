@@ -31,10 +31,11 @@ CLASSES = [
 ]
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _WHO = "|".join([*(n for names in GIVEN.values() for n in names)])
-_SURNAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-#: The kinds in the order in which they are tried at one place.
+_SURNAME = r"\p{Lu}\p{Ll}{1,60}+(?:-\p{Lu}\p{Ll}{1,60}+)?"
+#: The kinds in the order in which they are tried at one place. No group is repeated without bound, as
+#: the engine recurses on every round; the bounds of addresses are those of their standards.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,126}",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![0-9A-Za-z])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
@@ -46,7 +47,6 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: From this attempt on a surrogate may be longer than what it replaces, so a full space ends no search.
 LONGER = 8
-MAX_ROUNDS = 64
 
 
 def _kind(hit: Column) -> Column:
@@ -210,7 +210,8 @@ def settled_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     will not do: another entity has it, or it is itself an entity of the corpus.
 
     Of entities that share a surrogate the first in order keeps it; the others, and those whose
-    surrogate exists, try again until nothing collides.
+    surrogate exists, try again until nothing collides. Every ``LONGER`` attempts add a digit to a
+    surrogate, so ever fewer are left.
     """
     made = settle(
         entities.select("kind", "entity", F.lit(0).alias("attempt"))
@@ -219,7 +220,7 @@ def settled_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     )
     real = entities.select("kind", F.col("entity").alias("made"), F.lit(True).alias("real"))
     order = Window.partitionBy("kind", "made").orderBy("attempt", "entity")
-    for _ in range(MAX_ROUNDS):
+    while True:
         shared = made.groupBy("kind", "made").agg(F.count("*").alias("n")).filter("n > 1")
         rivals = made.join(shared, ["kind", "made"]).withColumn("rank", F.row_number().over(order))
         lost = rivals.filter("rank > 1").select("kind", "entity")
@@ -233,7 +234,6 @@ def settled_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
         )
         fresh = surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key)
         made = settle(made.withColumn("made", F.when(F.col("moved"), fresh).otherwise(F.col("made"))).drop("moved"), "surrogates")
-    raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds")
 
 
 def with_surrogates(
