@@ -70,6 +70,37 @@ def scan_parts(spark, sf):
     return _scan_counts(io.read_parts(spark, path, ORDER_SCHEMA))
 
 
+def _year_files(spark, sf, root):
+    """One CSV folder per year; the years differ in the order, the number and the first name of their columns."""
+    orders = _order_text(spark, sf).withColumn("note", F.lit("x, y"))
+    for y in fx.YEARS:
+        names = ["o_orderkey", "o_custkey", "DATE", "o_totalprice"]
+        if y % 2:
+            names = ["o_orderkey", "o_totalprice", "DATE", "note", "o_custkey"]
+        if y % 3 == 0:
+            names.remove("o_custkey")
+        rows = orders.filter(F.col("year") == y).select(*names)
+        if y % 4 == 0:
+            rows = rows.withColumnRenamed("o_orderkey", "WHATEVER")
+        io.write_panel(rows, f"{root}/im{y}_utf8.csv", fmt="csv")
+    return root + "/im{year}_utf8.csv"
+
+
+@query(
+    "scan_year_headers",
+    """
+SELECT o_orderkey AS id, CAST(CASE WHEN year(o_orderdate) % 3 <> 0 THEN o_custkey END AS BIGINT) AS o_custkey,
+       upper(strftime(date_trunc('month', o_orderdate), '%d%b%Y')) AS "DATE", o_totalprice,
+       CASE WHEN year(o_orderdate) % 2 = 1 THEN 'x, y' END AS note, CAST(year(o_orderdate) AS INTEGER) AS year
+FROM orders
+""",
+)
+def scan_year_headers(spark, sf):
+    """Every cell of files per year whose columns stand in another order, lack or add one."""
+    pattern = _year_files(spark, sf, scratch_path(spark, "year_headers"))
+    return io.read_year_files(spark, pattern, ORDER_SCHEMA, fx.YEARS, extra=True)
+
+
 @query(
     "date_helpers",
     """
