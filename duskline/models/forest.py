@@ -135,7 +135,7 @@ def tune_forest(
     return fitted.bestModel, results
 
 
-def _side_by_side(work, items: list, parallelism: int, df: DataFrame) -> list:
+def side_by_side(work, items: list, parallelism: int, df: DataFrame) -> list:
     """``work`` of every item, as many at a time as asked; the jobs share the executors."""
     pool = ThreadPool(max(1, min(parallelism, len(items))))
     try:
@@ -170,7 +170,7 @@ def cross_scores(
         train, _ = fold_split(folded, fold)
         return fit_forest(train if rebalance is None else rebalance(train), n_features, label, params)
 
-    models = _side_by_side(fit, list(range(k)), parallelism, df)
+    models = side_by_side(fit, list(range(k)), parallelism, df)
     keep = [*key, "fold", F.col(label).cast("int").alias("target")]
     scored = reduce(
         DataFrame.unionByName,
@@ -203,7 +203,7 @@ def sweep(
         part = score(best, rows, [*keep, F.col(label).cast("int").alias("target")])
         return scores, part.withColumn("model", F.lit(str(name))), fitted
 
-    done = _side_by_side(run, list(sets), parallelism, next(iter(sets.values())))
+    done = side_by_side(run, list(sets), parallelism, next(iter(sets.values())))
     oof, tested, models = zip(*done)
     return reduce(DataFrame.unionByName, oof), reduce(DataFrame.unionByName, tested), dict(zip(sets, models))
 

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from duskline.evaluation import confusion as cf
 from duskline.models import forest as fr
+from duskline.models.bagging import fit_bags, in_bag, out_of_bag
 from duskline.models.importance import importance_matrix, importances
+from duskline.models.study import Study
 from duskline.operators import features as ft, sampling as sp
 from duskline.operators.smote import smote
 from duskline.plans import fixtures as fx
@@ -22,6 +24,7 @@ from duskline.plans.sampling_queries import CASES, RATIOS, case_control, event_r
 from duskline.sources import panel_io as io
 from duskline.sources.scratch import scratch_path, settle
 
+BAGS = 10
 FEATURES = ft.lag_names(fx.METRICS) + ft.annual_names(fx.ANNUAL)
 
 
@@ -90,10 +93,55 @@ def importance_matrix_query(spark, sf):
     return importance_matrix(long, runs)
 
 
-@query("ratio_sweep")
-def ratio_sweep(spark, sf):
-    """Every class ratio x thresholds x test months, as rows of kept metrics."""
-    ratios = RATIOS
+@query(
+    "bag_samples",
+    f"""
+SELECT id, event, CAST(bag AS INTEGER) AS bag,
+       {slot_of(seeded("('101 bag ' || bag)", "id", "event"))} % 1000 < 632 AS seen
+FROM AN CROSS JOIN (SELECT unnest(range(10)) AS bag)
+""",
+    CASES,
+)
+def bag_samples(spark, sf):
+    """Which rows each bag of trees learns from."""
+    seen = F.array(*[in_bag(b, ["id", "event"]) for b in range(BAGS)])
+    return case_control(spark, sf).select("id", "event", F.posexplode(seen).alias("bag", "seen"))
+
+
+def _study(spark, name, **more):
+    return Study(spark, scratch_path(spark, name), len(FEATURES), key=["id", "event"], **{"bags": BAGS} | more)
+
+
+@query("out_of_bag")
+def out_of_bag_query(spark, sf):
+    """Each case by the trees that left it out."""
+    df = _train(spark, sf)
+    key = ["id", "event"]
+    models = fit_bags(df, len(FEATURES), BAGS, key)
+    return _rounded(out_of_bag(models, df, key))
+
+
+@query("study_folds")
+def study_folds(spark, sf):
+    """Every fold's out-of-bag error, and the fold that it picks."""
+    study = _study(spark, "study", bags=5)
+    study.run({"ALL": _train(spark, sf)})
+    best = study.best_folds().select("name", "fold", F.lit(True).alias("best"))
+    found = study.manifest().join(best, ["name", "fold"], "left")
+    return found.select("name", "fold", "bags", "rows", F.round("error", 6).alias("error"), F.coalesce("best", F.lit(False)).alias("best"))
+
+
+@query("importance_ratios")
+def importance_ratios(spark, sf):
+    """Importances of all folds of all ratios, from the saved trees."""
+    rows = _ratio_rows(spark, sf).filter(F.year("event") != fx.TEST_YEAR)
+    study = _study(spark, "ratio_study", bags=1)
+    study.run({f"DISB_{r}": rows.filter(F.col("ratio") == r).drop("ratio") for r in RATIOS}, parallelism=6)
+    return study.importance_cube(FEATURES)
+
+
+def _ratio_rows(spark, sf, ratios=RATIOS):
+    """Events with the controls of every ratio, as vectors."""
     p = fx.settled_panel(spark, sf)
     anchors = matched_ratios(spark, sf, ratios, p).withColumn("status", F.lit(0))
     annual = fx.annual(spark, sf, p)
@@ -101,7 +149,14 @@ def ratio_sweep(spark, sf):
     events = event_rows(spark, sf, p, fx.METRICS, fx.ANNUAL)
     many = F.explode(F.array(*[F.lit(r) for r in ratios]))
     rows = controls.unionByName(events.withColumn("ratio", many))
-    rows = fr.prepare(rows, FEATURES, ["ratio", "id", "event", "status"], "ratios")
+    return fr.prepare(rows, FEATURES, ["ratio", "id", "event", "status"], "ratios")
+
+
+@query("ratio_sweep")
+def ratio_sweep(spark, sf):
+    """Every class ratio x thresholds x test months, as rows of kept metrics."""
+    ratios = RATIOS
+    rows = _ratio_rows(spark, sf, ratios)
     train = rows.filter(F.year("event") != fx.TEST_YEAR)
     test = rows.filter((F.year("event") == fx.TEST_YEAR) & (F.col("ratio") == max(ratios)))
     sets = {f"DISB_{r}": train.filter(F.col("ratio") == r) for r in ratios}
