@@ -7,6 +7,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
 from duskline.functions.numbers import share
+from duskline.operators.summaries import pearson
 from duskline.sources.scratch import settle
 
 
@@ -70,17 +71,22 @@ def mean_by(df: DataFrame, c: str, keys: list[str]) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: list[str], digits: int = 2, method: str = "pearson") -> DataFrame:
     """Correlation of every pair of columns as (a, b, r), ``pearson`` or ``spearman``.
 
-    The columns travel as one vector, so any width is one pass over the rows; the driver gets
-    one number per pair. A column with a null or without spread has no correlation: null.
+    ``pearson`` is one scan, whose tasks send co-moments that are merged; ``spearman`` ranks every column
+    first, which sorts it. The driver gets one number per pair. A column with a null or without
+    spread has no correlation: null.
     """
     spark = df.sparkSession
-    numbers = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in cols])
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="v", handleInvalid="keep").transform(numbers)
-    r = Correlation.corr(vectors.select("v"), "v", method).first()[0].toArray()
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    rows = [
-        (a, b, None if gaps[a] or gaps[b] else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)
-    ]
+    if method == "pearson":
+        rows = pearson(df, list(cols))
+    else:
+        df = settle(df.select(*cols), "numbers")
+        numbers = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in cols])
+        vectors = VectorAssembler(inputCols=list(cols), outputCol="v", handleInvalid="keep").transform(numbers)
+        r = Correlation.corr(vectors.select("v"), "v", method).first()[0].toArray()
+        gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+        rows = [
+            (a, b, None if gaps[a] or gaps[b] else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)
+        ]
     value = F.when(~F.isnan("r"), F.round("r", digits)).alias("r")
     return spark.createDataFrame(rows, "a string, b string, r double").select("a", "b", value)
 

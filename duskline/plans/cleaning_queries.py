@@ -9,8 +9,8 @@ from duskline.functions.numbers import blank_cells, number_from_text, strict_sum
 from duskline.operators import exclusion as ex, profiles as pr, projection as pj, timeline as tl
 from duskline.plans import fixtures as fx
 from duskline.plans.catalog import query
-from duskline.sources import panel_io as io
-from duskline.sources.scratch import scratch_path
+from duskline.sources import panel_io as io, parts
+from duskline.sources.scratch import scratch_path, settle
 
 ORDER_SCHEMA = T.StructType(
     [
@@ -101,6 +101,24 @@ def scan_year_headers(spark, sf):
     return io.read_year_files(spark, pattern, ORDER_SCHEMA, fx.YEARS, extra=True)
 
 
+@query("write_parts", """SELECT CAST(year(o_orderdate) AS VARCHAR) AS part, count(*) AS rows,
+CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1""")
+def write_parts(spark, sf):
+    """A part per year by a run that was repeated, after one that left rows without an entry."""
+    root = scratch_path(spark, "orders_by_year")
+    orders = settle(_order_text(spark, sf), "order_text")
+    for y in fx.YEARS:
+        rows = orders.filter(F.col("year") == y)
+        if y % 2:
+            rows.limit(10).write.parquet(f"{root}/data/part={y}/run=broken")
+        if y % 3:
+            parts.write_part(rows.limit(5), root, str(y), "first")
+        for _ in range(2):
+            parts.write_part(rows, root, str(y), "second")
+    kept = parts.read_committed(spark, root)
+    return kept.groupBy("part").agg(F.count("*").alias("rows"), fx.money_sum("o_totalprice").alias("total"))
+
+
 @query(
     "date_helpers",
     """

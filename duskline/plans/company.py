@@ -81,8 +81,12 @@ def with_period(raw: DataFrame) -> DataFrame:
     """
     df = raw.withColumn("period", parse_period("DATE")).filter(F.col("period").isNotNull())
     df = pj.fill_column(df.withColumn("year", F.year("period")), STATUS, 0)
-    cells = F.to_json(F.struct(*[F.col(quoted(c)) for c in raw.columns]))
-    return tl.dedupe(df, ["id", "period"], [is_event().desc(), cells])
+    # The least of a month's rows, event rows before others: one grouping, whose tasks send one row
+    # per company and month.
+    cells = F.struct((~is_event()).alias("_later"), *[F.col(quoted(c)) for c in df.columns if c not in ("id", "period")])
+    return df.groupBy("id", "period").agg(F.min(cells).alias("_row")).select(
+        *[F.col(c if c in ("id", "period") else f"_row.{quoted(c)}") for c in df.columns]
+    )
 
 
 def undated_rows(raw: DataFrame) -> DataFrame:
@@ -90,17 +94,17 @@ def undated_rows(raw: DataFrame) -> DataFrame:
     return raw.filter(parse_period("DATE").isNull()).groupBy(STATUS).agg(F.count("*").alias("rows"))
 
 
-def clean_rows(raw: DataFrame) -> DataFrame:
-    """Whole-company exclusions: unclear sector, too young, no yearly data."""
-    df = with_period(raw)
+def clean_rows(dated: DataFrame) -> DataFrame:
+    """Whole-company exclusions: unclear sector, too young, no yearly data. ``dated`` is as from ``with_period``."""
+    df = dated
     return ex.clean_rows(
         df, is_event(), F.col(SECTOR) == UNCLEAR_SECTOR, EXISTED, pj.span(df, *PRESENCE_SPAN)
     )
 
 
-def category_ranks(raw: DataFrame, c: str) -> DataFrame:
-    """Risk rank per category value over all years."""
-    df = with_period(raw).withColumn(c, F.col(c).cast("string"))
+def category_ranks(dated: DataFrame, c: str) -> DataFrame:
+    """Risk rank per category value over all years, from the company, category and status alone."""
+    df = dated.select("id", F.col(c).cast("string").alias(c), STATUS)
     return pr.risk_rank(pr.category_risk(df, c, is_event()))
 
 

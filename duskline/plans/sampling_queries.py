@@ -11,6 +11,7 @@ from duskline.operators import (
     profiles as pr,
     projection as pj,
     sampling as sp,
+    summaries as sm,
 )
 from duskline.plans import fixtures as fx
 from duskline.plans.catalog import query
@@ -436,6 +437,32 @@ def summarize(spark, sf):
     return s.withColumns({"mean": F.round("mean", 4), "sd": F.round("sd", 4)})
 
 
+@query(
+    "column_quartiles",
+    " UNION ALL ".join(
+        f"""SELECT "column", share, round(value, 6) AS value FROM (SELECT '{c}' AS "column",
+unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS share, unnest(quantile_cont({c}::DOUBLE, [0.25, 0.5, 0.75])) AS value FROM D)"""
+        for c in ["n", "sales", "avg_price", "max_price"]
+    ),
+)
+def column_quartiles(spark, sf):
+    """Exact quartiles and medians of the dense panel."""
+    panel = settle(fx.dense_panel(spark, sf), "dense")
+    return sm.quantiles(panel, ["n", "sales", "avg_price", "max_price"]).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "text_levels",
+    """SELECT "column", level, rows, CAST(rank AS INTEGER) AS rank FROM (
+SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY rows DESC, level NULLS FIRST) AS rank FROM (
+SELECT 'sector' AS "column", sector AS level, count(*) AS rows FROM D GROUP BY 2
+UNION ALL SELECT 'status', CAST(status AS VARCHAR), count(*) FROM D GROUP BY 2)) WHERE rank <= 6""",
+)
+def text_levels(spark, sf):
+    """The most frequent values of the panel's categories."""
+    return sm.text_levels(fx.dense_panel(spark, sf), ["sector", "status"])
+
+
 @query(
     "row_audit",
     """SELECT year, count(*) AS start_rows, count(*) FILTER (WHERE NOT x) AS rows_left,

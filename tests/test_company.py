@@ -16,8 +16,9 @@ def raw(spark, tiny):
 
 @pytest.fixture(scope="module")
 def panel(raw):
-    ranks = {c: settle(co.category_ranks(raw, c)) for c in ("VKR_SEKCIJA", "APS")}
-    return settle(co.clean_columns(co.clean_rows(raw), ranks), "panel")
+    dated = settle(co.with_period(raw), "dated")
+    ranks = {c: settle(co.category_ranks(dated, c)) for c in ("VKR_SEKCIJA", "APS")}
+    return settle(co.clean_columns(co.clean_rows(dated), ranks), "panel")
 
 
 def test_clean_panel(raw, panel):
