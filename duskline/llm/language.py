@@ -145,8 +145,15 @@ def identify(
 
 
 def with_known_language(docs: DataFrame, min_score: float = MIN_SCORE, **options) -> DataFrame:
-    """``docs`` without the rows whose language is unknown or uncertain; all columns stay."""
+    """``docs`` without the rows whose language is unknown or uncertain; all columns stay.
+
+    Null text and text without a letter have no language and go. Where no document has a label to
+    learn from, no language can be told and every row stays. Ties are as in ``identify``; repeated
+    rows are judged alike and all stay or go; an empty table stays empty.
+    """
     model = learn(docs, **options)
+    if not model.languages:
+        return docs
     p = spare(docs, "_p")
     judged = docs.withColumn(p, predicted(docs, model, options.get("text", "text")))
     return judged.filter((F.col(f"{p}.lang_pred") != UNKNOWN) & (F.col(f"{p}.score") >= min_score)).drop(p)

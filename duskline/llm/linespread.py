@@ -30,36 +30,33 @@ def spread_lines(
     """(h, keeper): hashes of the non-blank lines on ``min_sites`` or more distinct sites, and the
     smallest key that has them.
 
-    A line with fewer occurrences than ``min_sites`` cannot be on that many sites, so occurrences
-    are counted first and only repeated lines get a sketch. A HyperLogLog sketch of the sites per
-    line is merged by aggregation; lines clearly above are taken, lines clearly below dropped, and
-    those near the threshold get an exact distinct count. Every step pre-aggregates before its
-    shuffle, so a line in a third of all documents is a few rows.
+    One aggregation of all line occurrences gives each line its count, its smallest key and a
+    HyperLogLog sketch of its sites; tasks send partial sketches, which are merged, so a line in
+    a third of all documents is a row per task. The sketch decides: lines clearly above the
+    threshold are taken, lines clearly below dropped. Only lines near it get an exact distinct count,
+    from a second look at their occurrences. A line is its 64-bit hash here; two lines of one hash
+    would count as one.
     """
     lines = docs.select(
         F.col(key).alias("k"), F.col(site).cast("string").alias("site"), F.explode_outer(_lines(whole(F.col(text)))).alias("line")
     )
     lines = lines.filter(F.trim("line") != "").select(_hash(F.col("line")).alias("h"), "site", "k")
-    often = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("keeper"))
-    often = settle(often.filter(F.col("n") >= min_sites).select("h", "keeper"), "repeated_lines")
-    # One row per line and site, so that what follows is bounded by the sites and not the copies.
-    on_sites = settle(
-        lines.groupBy("h", "site").agg(F.lit(1).alias("one")).join(often, "h", "left_semi").select("h", "site"),
-        "line_sites",
+    sketched = lines.groupBy("h").agg(
+        F.count("*").alias("n"), F.min("k").alias("keeper"), F.hll_sketch_agg("site", LG_K).alias("s")
     )
-    sketches = on_sites.groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("s"))
     error = SIGMAS * 0.83 / 2 ** (LG_K / 2)
-    sites = F.hll_sketch_estimate("s")
     low, high = min_sites * (1 - error) - 1, min_sites * (1 + error) + 1
-    judged = settle(sketches.select("h", sites.alias("sites")).filter(F.col("sites") >= low), "line_spread")
-    clear = judged.filter(F.col("sites") > high).select("h")
+    # Fewer occurrences than sites asked for: no need to look at the sketch.
+    judged = sketched.filter(F.col("n") >= min_sites).select("h", "keeper", F.hll_sketch_estimate("s").alias("sites"))
+    judged = settle(judged.filter(F.col("sites") >= low), "line_spread")
     near = judged.filter(F.col("sites") <= high).select("h")
     exact = (
-        on_sites.join(near, "h", "left_semi").filter(F.col("site").isNotNull())
+        lines.filter(F.col("site").isNotNull()).join(near, "h", "left_semi")
         .groupBy("h").agg(F.count_distinct("site").alias("sites"))
         .filter(F.col("sites") >= min_sites).select("h")
     )
-    return often.join(clear.unionByName(exact), "h", "left_semi")
+    clear = judged.filter(F.col("sites") > high)
+    return clear.unionByName(judged.join(exact, "h", "left_semi")).select("h", "keeper")
 
 
 def drop_spread_lines(

@@ -91,3 +91,22 @@ def test_defined_results(spark):
     assert sorted(map(str, kept)) == ["1", "2", "3", "4", "5", "None"]  # empty texts are one group
     kept = {r["doc_id"]: r["text"] for r in linespread.drop_spread_lines(docs(spark), min_sites=2).collect()}
     assert kept[2] is None and kept[3] == "same line\n\nown words here"
+
+
+def test_nothing_to_learn_keeps_every_document(spark):
+    rows = [(i, t, None, "a", 1) for i, t in enumerate(["some words here", None, "12", "some words here"])]
+    assert language.with_known_language(docs(spark, rows)).count() == 4
+    assert {r["lang_pred"] for r in language.identify(docs(spark, rows)).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("sigmas", [0, 5, 1000])
+def test_line_spread_is_exact_whatever_the_sketch_decides(spark, monkeypatch, sigmas):
+    """Lines on 1 to 40 sites, several times each; with a wide margin every line is counted exactly."""
+    monkeypatch.setattr(linespread, "SIGMAS", sigmas)
+    rows = []
+    for n in range(1, 41):
+        for i in range(max(n, 8)):
+            rows.append((n * 100 + i, f"line of {n} sites \nown {n} {i}", "en", f"s{i % n}" if i % n or n % 2 else None, 1))
+    found = {(r["h"], r["keeper"]) for r in linespread.spread_lines(docs(spark, rows), 6).collect()}
+    want = {n * 100 for n in range(1, 41) if len({f"s{i % n}" for i in range(max(n, 8)) if i % n or n % 2}) >= 6}
+    assert {k for _, k in found} == want and len(found) == len(want)
