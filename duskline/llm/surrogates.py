@@ -247,7 +247,8 @@ def with_surrogates(
     mention; given names keep their gender, card numbers their check, addresses of one site a
     common site. It depends on ``key`` and the entity alone, so all mentions of an entity in
     the corpus get the same one. All entities are checked for collisions: different entities get
-    different surrogates, and no surrogate is an entity of the corpus.
+    different surrogates, and no surrogate is an entity of the corpus. Given names, which change
+    places within their list, and the sites of addresses are not part of this check.
 
     Null text stays null, empty text empty, with no entities. All columns and rows stay, repeated
     rows too; where a column is already called ``count`` or ``kinds``, the new one gets underscores
