@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from duskline.llm.catalog import query, table
-from duskline.llm.text import shingles, words
+from duskline.llm.text import shingle_hashes, words
 from duskline.sources.scratch import settle
 
 K = 3
@@ -57,9 +57,9 @@ def templates() -> list[tuple[int, str, str, bool]]:
 
 
 def template_grams(spark: SparkSession, k: int = K) -> DataFrame:
-    """(template, label, base, t, n_grams, at, gram): every k-gram of every template with its words."""
+    """(template, label, base, t, n_grams, at, gram): the hash of every k-gram of every template, with its words."""
     cut = spark.createDataFrame(templates(), "template int, text string, label string, base boolean")
-    cut = cut.withColumn("t", F.split("text", " ")).withColumn("g", shingles(F.col("t"), k))
+    cut = cut.withColumn("t", F.split("text", " ")).withColumn("g", shingle_hashes(F.col("t"), k))
     return cut.select("template", "label", "base", "t", F.size("g").alias("n_grams"), F.posexplode("g").alias("at", "gram"))
 
 
@@ -122,14 +122,19 @@ def license_marks(
     """One row per row of ``docs``: key, n_words, n_base, first_word, last_word, base_labels,
     labels, score, n_spans.
 
-    Every k-gram of the text that a template has votes for its diagonal, text position minus
+    Every k-gram hash of the text that a template has votes for its diagonal, text position minus
     template position. A phrase that stands there word for word fills its diagonal, which gives
-    the exact places of the base phrases. For a notice, each diagonal with a vote is verified
-    against the words of the text there: template words are matched in order, each once, so one
+    the exact places of the base phrases once their words are compared. For a notice of n words,
+    up to e = n - ceil(coverage n) words may be changed, left out or put in; each costs k votes
+    at most and moves the rest by one diagonal, so the diagonals of an occurrence, taken
+    together, keep n - k + 1 - k e votes. Diagonals whose following neighbours bring them to
+    that many are merged into candidate spans, the rest is dropped. Each candidate is verified
+    once against the words of the text: template words are matched in order, each once, so one
     edit costs one word. A span counts if it has ``coverage`` of the template's words within a
-    length that fits. Where spans overlap the best-covered one stays, of equals the longer: an
+    length that fits. With more than e edits a notice may be found or not. Where spans overlap the best-covered one stays, of equals the longer: an
     LGPL notice is no GPL notice. A CC notice whose one distinguishing word was changed has all
-    words of CC BY and is that. ``score`` is the largest share of a template that was found,
+    words of CC BY and is that. ``score`` is the largest share of a template that was found, by votes for
+    phrases and by verified words for notices,
     ``n_spans`` the number of base phrases and notices.
 
     Null or empty text has no words and no labels; labels that are missing are an empty string,
@@ -138,13 +143,16 @@ def license_marks(
     once, a row per document if nothing matched; the join's build side is the fixed list above.
     """
     spark = docs.sparkSession
-    known = sorted({" ".join(w[i : i + k]) for _, t, _, _ in templates() for w in [t.split()] for i in range(len(w) - k + 1)})
-    longest = max(len(t.split()) for _, t, _, _ in templates())
+    grams_of = template_grams(spark, k)
+    known = sorted(r["gram"] for r in grams_of.select("gram").distinct().collect())  # as many as the list above has
+    sizes = [len(t.split()) for _, t, _, _ in templates()]
+    longest = max(sizes)
+    merge = max(band, *(n - math.ceil(round(coverage * n, 9)) for n in sizes))
     reach = math.ceil(longest / coverage) + band + longest
     row = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words(F.col(text), only_ascii=True).alias("w")
     )
-    grams = row.withColumn("g", shingles(F.col("w"), k))
+    grams = row.withColumn("g", shingle_hashes(F.col("w"), k))
     number = F.sequence(F.lit(0), F.size("g") - 1)
     held = F.filter(number, lambda i: F.get(F.col("g"), i).isin(known))
     hits = grams.select("row", "key", "w", F.when(F.size("g") > 0, held).otherwise(F.array().cast("array<int>")).alias("hits"))
@@ -163,30 +171,48 @@ def license_marks(
     ).select("row", "key", "n_words", "r.*")
     parts = settle(parts, "license_parts")
     found = parts.filter("low IS NOT NULL").select(
-        "row", "first", "low", "high", F.posexplode(shingles(F.col("part"), k)).alias("pos", "gram")
+        "row", "first", "low", "high", F.posexplode(shingle_hashes(F.col("part"), k)).alias("pos", "gram")
     )
     found = found.withColumn("pos", F.col("pos") + F.col("first")).filter("pos BETWEEN low AND high")
     template = ["template", "label", "base", "n_grams"]
-    votes = found.join(F.broadcast(template_grams(spark, k)), "gram").groupBy(
+    votes = found.join(F.broadcast(grams_of), "gram").groupBy(
         "row", "first", *template, "t", (F.col("pos") - F.col("at")).alias("diagonal")
     ).agg(F.count("*").alias("votes"))
-
-    exact = F.col("votes") == F.col("n_grams")
-    phrases = votes.filter("base").groupBy("row").agg(
-        F.count_if(exact).alias("n_base"),
-        F.min(F.when(exact, F.col("diagonal"))).cast("long").alias("first_word"),
-        F.max(F.when(exact, F.col("diagonal"))).cast("long").alias("last_word"),
-        F.collect_set(F.when(exact, F.col("label"))).alias("base"),
-        F.max(F.col("votes") / F.col("n_grams")).alias("base_share"),
+    votes = settle(votes, "license_votes")
+    texts = parts.select("row", "first", "part")
+
+    there = F.slice("part", F.col("diagonal") - F.col("first") + 1, F.size("t"))
+    full = votes.filter(F.col("base") & (F.col("votes") == F.col("n_grams"))).join(texts, ["row", "first"])
+    full = full.filter(there == F.col("t")).groupBy("row").agg(
+        F.count("*").alias("n_base"),
+        F.min("diagonal").cast("long").alias("first_word"),
+        F.max("diagonal").cast("long").alias("last_word"),
+        F.collect_set("label").alias("base"),
     )
+    partly = votes.filter("base").groupBy("row").agg(F.max(F.col("votes") / F.col("n_grams")).alias("base_share"))
+    phrases = partly.join(full, "row", "left")
 
-    # From the words that may be left out before a diagonal to the longest length that fits.
     n = F.size("t")
+    edits = n - F.ceil(F.round(F.lit(coverage) * n, 9)).cast("int")
+    enough = F.greatest(F.col("n_grams") - k * edits, F.lit(1))
+    place = Window.partitionBy("row", "first", "template").orderBy("diagonal")
+    merged = votes.filter("NOT base").withColumn("sum", F.sum("votes").over(place.rangeBetween(0, merge)))
+    merged = merged.filter(F.col("sum") >= enough)
+    # Runs of neighbours, cut into stretches of ``merge`` so that a candidate's window is bounded.
+    opens = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(place) > merge, F.lit(True))
+    upto = place.rowsBetween(Window.unboundedPreceding, 0)
+    merged = merged.withColumn("opens", opens).withColumn("run", F.max(F.when(F.col("opens"), F.col("diagonal"))).over(upto))
+    stretch = F.floor((F.col("diagonal") - F.col("run")) / (merge + 1))
+    candidates = merged.groupBy("row", "first", "template", "label", "t", "run", stretch.alias("stretch")).agg(
+        F.min("diagonal").alias("low")
+    )
+
+    # From the words that may be left out before the lowest diagonal to the longest length that
+    # fits. That holds n + e words from every diagonal of the stretch on, but no second occurrence.
     fits = F.floor(n / F.lit(coverage)).cast("int") + band
-    begin = F.greatest(F.col("diagonal") - F.ceil(n * F.lit(1 - coverage)).cast("int") - band, F.col("first"))
-    window = F.slice("part", begin - F.col("first") + 1, F.col("diagonal") + fits + band - begin)
-    asked = votes.filter("NOT base").select("row", "first", "template", "label", "t", "diagonal")
-    asked = asked.join(parts.select("row", "first", "part"), ["row", "first"])
+    begin = F.greatest(F.col("low") - F.ceil(n * F.lit(1 - coverage)).cast("int") - band, F.col("first"))
+    window = F.slice("part", begin - F.col("first") + 1, F.col("low") + fits + band - begin)
+    asked = candidates.join(texts, ["row", "first"])
     asked = asked.select("row", "template", "label", "t", begin.alias("begin"), window.alias("window"))
     asked = asked.withColumn("s", _aligned(F.col("window"), F.col("begin"), F.col("t")))
     share = F.when(F.col("s.last") - F.col("s.start") + 1 <= fits, F.col("s.matched") / n).otherwise(F.lit(0.0))
