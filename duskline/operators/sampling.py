@@ -73,8 +73,19 @@ def shuffle_rows(df: DataFrame, seed: int, key: list[str], name: str = "shuffle_
     return df.withColumn(name, digest(seed, *key))
 
 
+def first_fraction(df: DataFrame, fraction: float, seed: int, key: list[str]) -> DataFrame:
+    """Exactly floor(``fraction`` n) of the n rows, the first in seeded order.
+
+    The rows are counted, then taken as ``take_seeded`` does, so ``df`` is read four times:
+    settle it if it is costly. Null keys are values; of rows with one key any may be taken; an
+    empty table gives no rows.
+    """
+    share = F.floor(F.round(F.lit(fraction) * F.count(F.lit(1)), 9)).cast("long")
+    return take_seeded(df, key, df.select(share.alias("n")).scalar(), seed)
+
+
 def head_fraction(df: DataFrame, fraction: float, seed: int, key: list[str]) -> DataFrame:
-    """Keep a fraction of the rows by digest, without counting or sorting."""
+    """About a fraction of the rows, by digest, without counting or sorting."""
     bound = int(fraction * 2**SLOT_BITS)
     return df.filter(slot(digest(seed, *key)) < bound)
 

@@ -62,11 +62,14 @@ def shuffle_rows(spark, sf):
 
 @query(
     "head_fraction",
-    f"SELECT id, period, n FROM P WHERE {slot_of(seeded(repr('101'), 'id', 'period'))} < 576460752303423488",
+    f"""SELECT id, period, n FROM (SELECT *, row_number() OVER (
+  ORDER BY {seeded(repr('101'), 'id', 'period')}, id, period) AS rn, count(*) OVER () AS total FROM P)
+WHERE rn <= total // 2""",
 )
 def head_fraction(spark, sf):
-    df = fx.panel(spark, sf).select("id", "period", "n")
-    return sp.head_fraction(df, 0.5, SEED, ["id", "period"])
+    """Exactly half of the rows."""
+    df = settle(fx.panel(spark, sf).select("id", "period", "n"), "halved")
+    return sp.first_fraction(df, 0.5, SEED, ["id", "period"])
 
 
 @query(
@@ -386,9 +389,11 @@ _TRAIN = [1996, 1997, 1998, 1999]
     f"""W AS (SELECT c_custkey AS id, {_random_month('y', 'c_custkey')} AS event, y FROM customer
       CROSS JOIN (SELECT unnest({_TRAIN}) AS y)),
 ET AS (SELECT id, event FROM E WHERE year(event) IN ({", ".join(map(str, _TRAIN))})),
+WH AS (SELECT *, row_number() OVER (PARTITION BY year(event)
+    ORDER BY {seeded(repr('101'), 'id', 'event')}, id, event) AS rn, count(*) OVER (PARTITION BY year(event)) AS total FROM W),
 HE AS (
-  SELECT id, event, 0 AS status FROM W WHERE id NOT IN (SELECT id FROM ET)
-    AND (y <> 1996 OR {slot_of(seeded(repr('101'), 'id', 'event'))} < 576460752303423488)
+  SELECT id, event, 0 AS status FROM WH WHERE id NOT IN (SELECT id FROM ET)
+    AND (y <> 1996 OR rn <= total // 2)
   UNION ALL SELECT id, event, 1 FROM ET)""",
 )
 def yearly_combine(spark, sf):

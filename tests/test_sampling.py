@@ -100,6 +100,24 @@ def test_monthly_sets_drop_that_months_event_entities(spark):
     assert got == [(3, 1, 1, "train"), (3, 2, 0, "test"), (4, 1, 0, "test")]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 501])
+def test_first_fraction_is_exact(spark, n):
+    df = spark.range(n).selectExpr("IF(id = 3, NULL, id) AS id", "id % 5 AS x")
+    got = sp.first_fraction(df, 0.5, 101, ["id"])
+    ids = [r["id"] for r in got.collect()]
+    assert len(ids) == len(set(ids)) == n // 2
+    assert got.columns == df.columns
+    again = [r["id"] for r in sp.first_fraction(df.repartition(3), 0.5, 101, ["id"]).collect()]
+    assert set(ids) == set(again)
+
+
+def test_yearly_combine_halves_one_year_exactly(spark):
+    e = spark.createDataFrame([(10**6, month("2015-03"), 1)], "id long, event date, status int")
+    h = spark.createDataFrame([(i, dt.date(2014, 1, 1), 0) for i in range(1, 40)], "id long, event date, status int")
+    got = ds.yearly_combine(h, e, [2014, 2015], 2014, 101)
+    assert got.filter("status = 0").count() == 19
+
+
 def test_yearly_combine_one_row_per_id_and_class(spark):
     e = spark.createDataFrame([(1, month("2015-03"), 1)], "id long, event date, status int")
     h = spark.createDataFrame(
