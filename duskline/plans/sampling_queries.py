@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from duskline.operators import (
     datasets as ds,
+    exchange as xc,
     exclusion as ex,
     features as ft,
     profiles as pr,
@@ -207,6 +208,48 @@ def match_complete(spark, sf):
     )
 
 
+_TIGHT, _TIGHT_CELLS = 40, 9
+
+
+@query(
+    "match_exchange",
+    """SELECT year, sum(quota)::BIGINT AS quota, any_value(best)::BIGINT AS kept, (sum(quota) - any_value(best))::BIGINT AS missing,
+true AS once, true AS able, true AS within FROM XQ JOIN (
+  SELECT year, min(beyond + coalesce(reach, 0)) AS best FROM XB LEFT JOIN XN USING (year, s) GROUP BY year) USING (year) GROUP BY year""",
+    f"""XQ AS (SELECT CAST(year(event) AS INTEGER) AS year, event, {_TIGHT} * count(*) AS quota FROM E GROUP BY ALL),
+XA AS (SELECT XQ.year, H.id, XQ.event FROM XQ CROSS JOIN H JOIN P ON P.id = H.id
+  AND P.period <= event - INTERVAL 3 MONTH AND P.period > event - INTERVAL 15 MONTH
+  GROUP BY ALL HAVING sum({" + ".join(f"(coalesce({m}, 0) <> 0)::INT" for m in fx.METRICS)}) >= {_TIGHT_CELLS}),
+XM AS (SELECT year, mask, count(*) AS n FROM (
+  SELECT year, id, bit_or(1 << (month(event)::INT - 1)) AS mask FROM XA GROUP BY ALL) GROUP BY ALL),
+XS AS (SELECT unnest(range(0, 4096))::INT AS s),
+XB AS (SELECT year, s, sum(CASE WHEN s & (1 << (month(event)::INT - 1)) = 0 THEN quota ELSE 0 END) AS beyond
+  FROM XQ CROSS JOIN XS GROUP BY ALL),
+XN AS (SELECT year, s, sum(n) AS reach FROM XM JOIN XS ON mask & s <> 0 GROUP BY ALL)""",
+)
+def match_exchange(spark, sf):
+    """Tight quotas per year: the controls kept are as many as any assignment of customers to months
+    allows. The SQL has the smallest cut over all sets of months."""
+    p = fx.settled_panel(spark, sf)
+    events = fx.events(spark, sf).withColumn("year", F.year("event"))
+    wanted = settle(sp.control_quotas(events, _TIGHT, ["year"]), "wanted")
+    check = lambda a: ft.filled_lag_cells(a, p, fx.METRICS)
+    years = wanted.agg(F.collect_set("year")).scalar()
+    pool = settle(fx.healthy(spark, sf).withColumn("year", F.explode(years)), "pool")
+    kept = xc.match_exchanged(pool, wanted, SEED, check, _TIGHT_CELLS, ["year"])
+    able = check(kept).groupBy("year").agg(F.min("filled").alias("least"))
+    month = sp.control_shortfall(kept, wanted, ["year"]).groupBy("year").agg(
+        F.sum("quota").alias("quota"), F.sum("kept").alias("kept"), F.sum("missing").alias("missing"),
+        F.bool_and(F.col("missing") >= 0).alias("within"),
+    )
+    once = kept.groupBy("year").agg((F.count("*") == F.count_distinct("id")).alias("once"))
+    both = month.join(once, "year", "left").join(able, "year", "left")
+    return both.select(
+        "year", "quota", "kept", "missing", F.coalesce("once", F.lit(True)).alias("once"),
+        F.coalesce(F.col("least") >= _TIGHT_CELLS, F.lit(True)).alias("able"), "within",
+    )
+
+
 @query(
     "match_shortfall",
     """SELECT ratio, event, quota, coalesce(kept, 0) AS kept, quota - coalesce(kept, 0) AS missing
