@@ -249,43 +249,54 @@ def fill_open(
 ) -> DataFrame:
     """``kept`` with more controls, until no month is short while an unused entity could serve it.
 
-    Each round takes about ``slack`` times the largest gap of the unused entities at every open
-    month, and only their windows are checked; an entity that could serve several months serves
-    one of them. A round that accepts nobody is followed by one that takes four times as many,
-    and filling ends when no month is open or a round over all unused entities accepts nobody.
+    Each round takes of every short group's unused entities about ``slack`` times its largest gap,
+    asks them for every open month of the group, and only their windows are checked; an entity that
+    could serve several months serves one of them. A round that accepts nobody is followed by one
+    that takes four times as many. A group is done when all its unused entities were asked and
+    none was accepted, and filling ends when no group is left that is short and not done.
     """
     by = list(by)
-    kept, share, turn = settle(kept, "controls"), 0.0, 0
+    kept, turn, done = settle(kept, "controls"), 0, None
     while True:
         turn += 1
         short = control_shortfall(kept, quotas, by).filter("missing > 0").select(*by, "event", "missing")
-        short = settle(short, "open_months")
-        gap = short.agg(F.max("missing")).first()[0]
+        # At most one entry per calendar month.
+        months = short.groupBy(*by).agg(
+            F.max("missing").alias("_gap"), F.collect_list(F.struct("event", "missing")).alias("_open")
+        )
+        if done is not None:
+            months = months.alias("_l").join(done.alias("_r"), null_safe(by, "_l", "_r"), "left_anti")
         unused = pool.alias("_l").join(kept.alias("_r"), null_safe([*by, "id"], "_l", "_r"), "left_anti")
         unused = settle(unused, "unused")
-        n = unused.count()
-        if not gap or not n:
+        n = unused.groupBy(*by).agg(F.count(F.lit(1)).alias("_unused"))
+        months = months.alias("_l").join(n.filter("_unused > 0").alias("_r"), null_safe(by, "_l", "_r"))
+        share = F.least(F.lit(1.0), F.lit(float(slack)) * F.col("_gap") / F.col("_unused"))
+        months = settle(months.select(*[F.col(f"_l.{c}") for c in by], "_open", share.alias("_share")), "open_months")
+        if months.isEmpty():
             return kept
-        share = min(1.0, max(share, slack * gap / n))
-        # At most one entry per calendar month.
-        months = short.groupBy(*by).agg(F.collect_list(F.struct("event", "missing")).alias("_open"))
-        some = head_fraction(unused, share, f"{seed} fill {turn}", [*by, "id"])
         if by:
-            asked = salted_join(some, months, by, ["id"], how="inner")
+            some = salted_join(unused, months, by, ["id"], how="inner")
         else:
-            asked = some.withColumn("_open", months.select("_open").scalar())
-        asked = asked.select(*pool.columns, F.inline("_open"))
+            one = months.select(F.struct("_open", "_share").alias("s")).scalar()
+            some = unused.withColumn("_s", one).select(*pool.columns, "_s._open", "_s._share")
+        name = f"{seed} fill {turn}"
+        drawn = slot(digest(name, *by, "id")) < F.col("_share") * F.lit(float(2**SLOT_BITS))
+        asked = some.filter(drawn).select(*pool.columns, F.inline("_open"))
         if filled is not None:
             asked = filled(settle(asked, "asked")).filter(F.col("filled") >= min_filled).drop("filled")
-        once = settle(one_per_id(asked, f"{seed} fill {turn}", [*by, "id"], ["event"]), "fitting")
-        taken = take_seeded(once, [*by, "id"], F.col("missing"), f"{seed} fill {turn}", [*by, "event"])
+        once = settle(one_per_id(asked, name, [*by, "id"], ["event"]), "fitting")
+        taken = take_seeded(once, [*by, "id"], F.col("missing"), name, [*by, "event"])
         taken = settle(taken.drop("missing"), "filled")
-        if not taken.isEmpty():
-            kept = settle(kept.unionByName(taken), "controls")
-        elif share == 1.0:
-            return kept
+        if by:
+            over = months.filter("_share = 1").select(*by).alias("_l")
+            over = over.join(taken.select(*by).distinct().alias("_r"), null_safe(by, "_l", "_r"), "left_anti")
+            done = settle(over if done is None else over.unionByName(done), "done_groups")
+        if taken.isEmpty():
+            if months.filter("_share < 1").isEmpty():
+                return kept
+            slack = 4 * slack
         else:
-            share = min(1.0, 4 * share)
+            kept = settle(kept.unionByName(taken), "controls")
 
 
 def control_shortfall(controls: DataFrame, quotas: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -14,6 +14,7 @@ from duskline.functions.dates import parse_period
 from duskline.functions.numbers import filled_cells, quoted
 from duskline.operators import (
     datasets as ds,
+    exchange as xc,
     exclusion as ex,
     features as ft,
     profiles as pr,
@@ -212,6 +213,7 @@ def ratio_sets(
 ) -> DataFrame:
     """Controls matched to the event calendar at each ratio, with all events.
 
+    A month falls short only where no assignment of companies to months could fill it.
     ``scope="ever"`` keeps later event companies out of the controls and uses a company
     once per ratio; ``"year"`` draws every year on its own from companies without an
     event in that year.
@@ -235,13 +237,12 @@ def ratio_sets(
         set_cells = F.col("filled") + filled_cells(ft.annual_names(blocks.annual))
         return known.select(*anchors.columns, set_cells.alias("filled"))
 
-    controls = sp.match_controls(
-        pool.withColumn("ratio", many),
-        sp.control_quotas(quota_events, F.col("ratio"), by),
+    controls = xc.match_exchanged(
+        settle(pool.withColumn("ratio", many), "pool"),
+        settle(sp.control_quotas(quota_events, F.col("ratio"), by), "quotas"),
         seed,
-        filled=filled,
+        filled,
         by=by,
-        fill=True,
     ).drop("year")
     return ds.ratio_sets(healthy_rows(panel, controls), shared(rows), ratios, test_year)
 
