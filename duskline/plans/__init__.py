@@ -4,6 +4,7 @@
 def load():
     from duskline.plans import (  # noqa: F401
         cleaning_queries,
+        clustered_queries,
         company_queries,
         evaluation_queries,
         model_queries,

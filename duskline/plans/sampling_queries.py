@@ -355,24 +355,27 @@ def split_time(spark, sf):
     return ds.split_time(both, fx.TEST_YEAR)
 
 
-_LAG_N = ", ".join(f"n_M_{i}" for i in range(1, 13))
+_LAGS = ", ".join(f"{m}_M_{i}" for m in fx.METRICS for i in range(1, 13))
+_YEAR = ", ".join(f"{c}_Y_1" for c in fx.ANNUAL)
 
 
 @query(
     "monthly_sets",
-    f"""SELECT id, event, {_LAG_N}, status, CAST(month(event) AS INTEGER) AS month,
+    f"""SELECT *, CAST(month(event) AS INTEGER) AS month,
 CASE WHEN year(event) = 2000 THEN 'test' ELSE 'train' END AS split FROM (
-  SELECT HD.* FROM HD WHERE NOT EXISTS (
-    SELECT 1 FROM EK WHERE EK.id = HD.id AND month(EK.event) = month(HD.event))
-  UNION ALL SELECT id, event, {_LAG_N}, 1 FROM G)""",
-    f"""{_EVENTS_KEPT}, G AS ({lag_sql('EK', ['n'])}),
-DL AS (SELECT id, period AS event, {", ".join(f"CAST(coalesce(lag(n, {i + 2}) OVER w, 0) AS DOUBLE) AS n_M_{i}" for i in range(1, 13))}
+  SELECT id, event, {_LAGS}, {_YEAR}, 0 AS status FROM HK JOIN HB USING (id, event)
+  UNION ALL SELECT id, event, {_LAGS}, {_YEAR}, 1 FROM G JOIN GB USING (id, event))""",
+    f"""{_EVENTS_KEPT}, G AS ({lag_sql('EK', fx.METRICS)}), GB AS ({annual_sql('EK', fx.ANNUAL)}),
+DL AS (SELECT id, period AS event, {", ".join(f"CAST(coalesce(lag({m}, {i + 2}) OVER w, 0) AS DOUBLE) AS {m}_M_{i}" for m in fx.METRICS for i in range(1, 13))}
        FROM D WINDOW w AS (PARTITION BY id ORDER BY period)),
-HD AS (SELECT id, event, {_LAG_N}, 0 AS status FROM DL WHERE {" + ".join(f"n_M_{i}" for i in range(1, 13))} > 0)""",
+HK AS (SELECT * FROM DL WHERE {" + ".join(f"n_M_{i}" for i in range(1, 13))} > 0 AND NOT EXISTS (
+    SELECT 1 FROM EK WHERE EK.id = DL.id AND month(EK.event) = month(DL.event))),
+HB AS ({annual_sql('HK', fx.ANNUAL)})""",
 )
 def monthly_sets(spark, sf):
-    """Every customer at every month against the events of that calendar month."""
-    return month_rows(spark, sf, fx.panel(spark, sf), ["n"])
+    """Every customer at every month against the events of that calendar month, with all lags and
+    the annual block."""
+    return month_rows(spark, sf, fx.settled_panel(spark, sf), fx.METRICS, fx.ANNUAL)
 
 
 def month_rows(spark, sf, p, metrics, annual_cols=()):
@@ -386,20 +389,21 @@ def month_rows(spark, sf, p, metrics, annual_cols=()):
 
 @query(
     "ratio_sets",
-    f"""SELECT ratio, id, event, status, {_LAG_N},
-CASE WHEN year(event) = 2000 THEN 'test' ELSE 'train' END AS split FROM (
-  SELECT ratio, id, event, status, {_LAG_N} FROM GC
-  UNION ALL SELECT ratio, id, event, 1, {_LAG_N} FROM G CROSS JOIN (SELECT unnest({RATIOS}) AS ratio))""",
-    f"""{MATCHED_RATIOS},{_EVENTS_KEPT}, G AS ({lag_sql('EK', ['n'])}),
+    f"""SELECT *, CASE WHEN year(event) = 2000 THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT ratio, id, event, status, {_LAGS}, {_YEAR} FROM GC JOIN CB USING (ratio, id, event)
+  UNION ALL SELECT ratio, id, event, 1, {_LAGS}, {_YEAR} FROM G JOIN GB USING (id, event)
+  CROSS JOIN (SELECT unnest({RATIOS}) AS ratio))""",
+    f"""{MATCHED_RATIOS},{_EVENTS_KEPT}, G AS ({lag_sql('EK', fx.METRICS)}), GB AS ({annual_sql('EK', fx.ANNUAL)}),
 MS AS (SELECT *, 0 AS status FROM MR),
-GC AS ({lag_sql('MS', ['n'], ['ratio', 'id', 'event', 'status'])})""",
+GC AS ({lag_sql('MS', fx.METRICS, ['ratio', 'id', 'event', 'status'])}),
+CB AS ({annual_sql('MS', fx.ANNUAL, 'X.ratio, ')})""",
 )
 def ratio_sets(spark, sf):
-    p = settle(fx.panel(spark, sf), "panel")
-    controls = _wide(spark, sf, p, matched_ratios(spark, sf, p=p), ["n"], ()).withColumn(
-        "status", F.lit(0)
-    )
-    return ds.ratio_sets(controls, event_rows(spark, sf, p, ["n"]), RATIOS, fx.TEST_YEAR)
+    """Controls of every ratio and all events, with all lags and the annual block."""
+    p = fx.settled_panel(spark, sf)
+    controls = _wide(spark, sf, p, matched_ratios(spark, sf, p=p), fx.METRICS, fx.ANNUAL)
+    events = event_rows(spark, sf, p, fx.METRICS, fx.ANNUAL)
+    return ds.ratio_sets(controls.withColumn("status", F.lit(0)), events, RATIOS, fx.TEST_YEAR)
 
 
 @query(
