@@ -87,3 +87,14 @@ def test_matching_then_exchange(spark, n):
     got = xc.match_exchanged(spark.range(n), quotas, 5, check)
     assert got.count() == largest({m: 3 for m in MONTHS}, able)
     assert {(r["id"], r["event"]) for r in got.collect()} <= set(able)
+
+
+def test_nulls_and_empty_tables(spark):
+    quotas = spark.createDataFrame([(MONTHS[0], 1), (MONTHS[1], 1)], "event date, quota long")
+    schema = "id long, event date"
+    able = spark.createDataFrame([(None, MONTHS[0]), (None, MONTHS[1]), (1, MONTHS[1])], schema)
+    kept = spark.createDataFrame([(None, MONTHS[1])], schema)
+    got = xc.exchange_open(kept, quotas, able, 1).collect()
+    assert {(r["id"], r["event"]) for r in got} == {(None, MONTHS[0]), (1, MONTHS[1])} and len(got) == 2
+    assert xc.exchange_open(kept, quotas, able.limit(0), 1).count() == 1
+    assert xc.exchange_open(kept.limit(0), quotas.limit(0), able, 1).count() == 0
