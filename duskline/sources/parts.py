@@ -6,6 +6,8 @@ from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from duskline.sources.scratch import scratch_path
+
 ENTRY = "name string, run string, rows long, digest string"
 
 
@@ -34,7 +36,21 @@ def write_part(df: DataFrame, root: str, name: str, run: str) -> bool:
     The rows go to a folder of their own run. One manifest entry, written last, makes them the part;
     what a crashed run left has no entry and is never read. A part whose entry has this run and
     the same rows is not written again; a run's name must not be used by two writers at a time.
+
+    ``df`` is computed once, into the scratch folder: a limit, or whatever else may give other rows
+    when it is computed again, has one digest.
     """
+    spark = df.sparkSession
+    once = scratch_path(spark, "part")
+    df.write.parquet(once)
+    try:
+        return _commit(spark.read.schema(df.schema).parquet(once), root, name, run)
+    finally:
+        files = spark._jvm.org.apache.hadoop.fs.Path(once)
+        files.getFileSystem(spark._jsc.hadoopConfiguration()).delete(files, True)
+
+
+def _commit(df: DataFrame, root: str, name: str, run: str) -> bool:
     spark = df.sparkSession
     entry = f"{root}/manifest/part={quote(name, safe='')}"
     now = _content(df).select(F.lit(name).alias("name"), F.lit(run).alias("run"), "rows", "digest")
