@@ -1,5 +1,7 @@
 """Co-moments, quantiles and committed parts against plain versions."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
