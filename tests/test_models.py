@@ -93,3 +93,32 @@ def test_best_model_follows_error(spark):
         [("m", 0, 0.9, 0), ("m", 1, 0.1, 0)], "model string, fold int, score double, target int"
     )
     assert fr.best_model(df, ["a", "b"]) == (1, "b")
+
+
+def test_a_fit_uses_several_tasks_whatever_the_order_of_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(fr, "ROWS_A_TASK", 60, raising=False)
+    cells = spark.range(0, 240, 1, 1).selectExpr("id", "CAST(id % 7 < 3 AS INT) AS status", "CAST(id % 11 AS DOUBLE) AS x")
+    df = fr.prepare(cells, ["x"], ["id", "status"])
+    params = fr.ForestParams(trees=4, columns=1, min_child_rows=5, depth=4)
+    scores = []
+    for order in (F.col("id"), F.col("id").desc()):
+        model = fr.fit_forest(df.coalesce(1).sortWithinPartitions(order), 1, params=params)
+        scores.append(sorted(map(tuple, fr.score(model, df, ["id"]).collect())))
+    assert scores[0] == scores[1] and len(scores[0]) == 240
+    dealt = fr.dealt_rows(df.select("features", "status").coalesce(1))
+    assert dealt.rdd.getNumPartitions() == 4 and dealt.count() == 240
+
+
+def test_derived_training_rows_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def add(x):
+        made.add(1)
+        return x
+
+    again = F.udf(add, "int").asNondeterministic()
+    rows = [(i, i % 2, float(i % 5)) for i in range(40)]
+    df = fr.prepare(spark.createDataFrame(rows, "id long, status int, x double"), ["x"], ["id", "status"])
+    params = fr.ForestParams(trees=2, columns=1, min_child_rows=1, depth=2)
+    fr.cross_scores(df, 1, 2, params=params, rebalance=lambda t: t.withColumn("status", again("status")))
+    assert made.value == 40
