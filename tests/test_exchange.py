@@ -98,3 +98,15 @@ def test_nulls_and_empty_tables(spark):
     assert {(r["id"], r["event"]) for r in got} == {(None, MONTHS[0]), (1, MONTHS[1])} and len(got) == 2
     assert xc.exchange_open(kept, quotas, able.limit(0), 1).count() == 1
     assert xc.exchange_open(kept.limit(0), quotas.limit(0), able, 1).count() == 0
+
+
+def test_filling_ends_soon_where_few_fit(spark, monkeypatch):
+    """One in fifty of the pool fits: each round asks more, and all that fit are found."""
+    rounds, once = [], sp.one_per_id
+    monkeypatch.setattr(sp, "one_per_id", lambda *a: rounds.append(1) or once(*a))
+    pool = spark.range(3000)
+    quotas = spark.createDataFrame([("2000-01", 40), ("2000-02", 30)], "event string, quota long")
+    fits = lambda a: a.withColumn("filled", (F.col("id") % 50 == 0).cast("int"))
+    kept = sp.fill_open(pool, quotas, quotas.selectExpr("0L AS id", "event").limit(0), 7, fits)
+    assert sorted(r["id"] for r in kept.collect()) == list(range(0, 3000, 50))
+    assert len(rounds) <= 6
