@@ -109,7 +109,8 @@ def test_a_fit_uses_several_tasks_whatever_the_order_of_its_rows(spark, monkeypa
     assert dealt.rdd.getNumPartitions() == 4 and dealt.count() == 240
 
 
-def test_derived_training_rows_are_made_once(spark):
+def test_derived_training_rows_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(fr, "ROWS_A_TASK", 10, raising=False)
     made = spark.sparkContext.accumulator(0)
 
     def add(x):
