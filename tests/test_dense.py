@@ -1,4 +1,5 @@
 import datetime as dt
+from itertools import takewhile
 
 import pytest
 
@@ -33,6 +34,9 @@ def test_dense_panel_has_every_month_of_every_customer_row(spark, orders_dir):
 def test_the_calendar_is_laid_out_after_the_join(spark, orders_dir, name):
     """An exploded calendar has the size estimate of the customers, so a join would broadcast it."""
     plan = QUERIES[name](spark, orders_dir)._jdf.queryExecution().optimizedPlan()
-    lines = [x.lstrip(" :+-") for x in plan.toString().splitlines()]
-    below = lines[next(i for i, x in enumerate(lines) if x.startswith("Generate")) :]
-    assert any(x.startswith("Join") for x in below)
+    lines = [(len(x) - len(x.lstrip(" :+-")), x.lstrip(" :+-")) for x in plan.toString().splitlines()]
+    laid_out = [i for i, (_, x) in enumerate(lines) if x.startswith("Generate")]
+    assert laid_out
+    for i in laid_out:
+        below = takewhile(lambda line: line[0] > lines[i][0], lines[i + 1 :])
+        assert any(x.startswith("Join") for _, x in below)
