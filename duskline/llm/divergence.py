@@ -7,7 +7,6 @@ do not exist as rows; the others are joined pairwise and walked quadrant by quad
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -15,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duskline.llm.catalog import query, table
-from duskline.llm.text import UPPER, whole
+from duskline.llm.text import whole
 from duskline.sources.scratch import settle
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-TO_LOWER = str.maketrans(UPPER, UPPER.lower())
+#: Each byte of a text: A-Z in lower case, a-z and all beyond ASCII as they are, others blank.
+LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Counts that a Python worker holds before it hands them on.
 HELD = 1 << 19
 MIN_DOCS = 30
@@ -32,9 +31,12 @@ ROWS, COLUMNS = 32, 512
 LEAF = 4
 
 
-def terms(text: str) -> list[str]:
-    """Runs of letters and of anything beyond ASCII, A-Z in lower case."""
-    return TERM.findall(text.lower() if text.isascii() else text.translate(TO_LOWER))
+def terms(text: bytes) -> list[bytes]:
+    """Runs of letters and of anything beyond ASCII, A-Z in lower case, in UTF-8.
+
+    No byte of a longer character is an ASCII one, so the bytes are cut where the characters are.
+    """
+    return text.translate(LETTERS).split()
 
 
 def _tallies(batches):
@@ -48,7 +50,8 @@ def _tallies(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kind.types)], schema=kind)
 
     for batch in batches:
-        for lang, source, text in zip(*(column.to_pylist() for column in batch.columns)):
+        lang_source = (column.to_pylist() for column in batch.columns[:2])
+        for lang, source, text in zip(*lang_source, batch.column(2).cast(pa.binary()).to_pylist()):
             found = terms(text)
             count, docs = groups.setdefault((lang, source), (Counter(), Counter()))
             held -= len(count)

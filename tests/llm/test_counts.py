@@ -147,6 +147,12 @@ def test_audit_equals_plain(spark, monkeypatch, blocks):
     assert got == plain_audit(rows, 9, 7)
 
 
+def test_terms_of_bytes_are_the_terms_of_characters():
+    odd = "a\x85b c\xa0d \u2028x\u3000Y ÀÉ\U0001f600z it's A1b2\tZ\x1c_q\x7fw [K] İI\x00end"
+    for text in ("", " ", "ABC", odd, odd[::-1]):
+        assert [t.decode() for t in divergence.terms(text.encode())] == divergence_words(text)
+
+
 def test_prices_stay_exact(spark):
     big = 7 * 10**17
     row = spark.range(1).select(divergence.price(F.lit(big), F.lit(9 * 10**17), F.lit(12_345)).alias("p")).first()
