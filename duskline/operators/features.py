@@ -6,6 +6,8 @@ one anchor are bounded by the window length however uneven the raw data was.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from duskline.functions.dates import anchor_month, known_year, lag_months
@@ -14,6 +16,8 @@ from duskline.operators.joins import null_safe
 
 LAGS = 12
 GAP = 3
+#: Anchors that one task joins with their rows and groups.
+ANCHORS_A_TASK = 200_000
 
 
 def _zero_if_null(value: str, name: str) -> str:
@@ -41,8 +45,13 @@ def _window_rows(anchors: DataFrame, panel: DataFrame, metrics: list[str], n: in
 
     The months no anchor can reach are cut at the scan: a set for one test month reads
     one year of the panel, by folder where it is stored in year folders.
+
+    More anchors than ``ANCHORS_A_TASK`` and the panel are dealt by entity, a partition per so many
+    anchors, and meet in an outer join: grouping what is found moves nothing any more, and what a
+    task sorts and groups does not grow with the anchors.
     """
     keys = anchors.columns
+    parts = math.ceil(anchors.count() / ANCHORS_A_TASK)
     span = anchors.agg(F.struct(F.min("event").alias("a"), F.max("event").alias("b"))).scalar()
     first, last = F.add_months(span["a"], 1 - gap - n), F.add_months(span["b"], -gap)
     reached = panel.filter(F.col("period").between(first, last))
@@ -54,9 +63,11 @@ def _window_rows(anchors: DataFrame, panel: DataFrame, metrics: list[str], n: in
         & (F.col("_period") <= anchor_month("event", gap))
         & (F.col("_period") > anchor_month("event", gap + n))
     )
-    found = anchors.join(p, in_window).select(
-        *keys, lag_months("event", "_period", gap).alias("_lag"), *metrics
-    )
+    lag = lag_months("event", "_period", gap).alias("_lag")
+    if parts > 1:
+        met = anchors.repartition(parts, "id").join(p.repartition(parts, "_id"), in_window, "left")
+        return met.select(*keys, lag, *metrics)
+    found = anchors.join(p, in_window).select(*keys, lag, *metrics)
     types = {f.name: f.dataType.simpleString() for f in p.schema.fields}
     empty = [f"CAST(NULL AS {types[m]}) AS {quoted(m)}" for m in metrics]
     return found.unionByName(
@@ -69,7 +80,7 @@ def lag_features(
 ) -> DataFrame:
     """``<metric>_M_<i>`` for i = 1..n, counted back in calendar months from the anchor.
 
-    ``anchors`` has ``id``, ``event`` and any other key columns, and is read three times:
+    ``anchors`` has ``id``, ``event`` and any other key columns, and is read four times:
     settle it if it is costly. Missing months are 0 and shift nothing.
     """
     keys = anchors.columns

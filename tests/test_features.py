@@ -110,3 +110,26 @@ def test_dense_rows_of_asked_months(spark):
 def test_dense_rows_outside_the_panel(spark):
     assert ft.lag_features_dense(_panel(spark, ["2016-01"]), ["v"], years=[2020]).isEmpty()
     assert ft.lag_features_dense(_panel(spark, ["2016-01"]).limit(0), ["v"]).isEmpty()
+
+
+def test_many_anchors_are_dealt_by_entity(spark, monkeypatch):
+    panel = spark.createDataFrame(
+        [(i, month(f"2018-{m:02d}"), 2018, float(i * m % 3), None if m % 4 else 1.0) for i in (1, 2, 3, 4) for m in range(1, 13)]
+        + [(2, month("2018-03"), 2018, 5.0, 5.0), (None, month("2018-03"), 2018, 1.0, 1.0)],
+        "id long, period date, year int, a double, b double",
+    )
+    anchors = [(r, i, month(f"2019-{m:02d}")) for r in (1, None) for i in (1, 2, 3, 9, None) for m in (1, 5, 9)]
+    anchors = spark.createDataFrame(anchors + anchors[:4], "ratio int, id long, event date")
+    single = panel.filter("id <> 2")
+
+    def found():
+        return [rows(ft.filled_lag_cells(anchors, panel, ["a", "b"]).select(F.to_json(F.struct("*")).alias("x"))),
+                rows(ft.lag_features(anchors, single, ["a", "b"]).select(F.to_json(F.struct("*")).alias("x")))]
+
+    few = found()
+    monkeypatch.setattr(ft, "ANCHORS_A_TASK", 3)
+    assert found() == few
+    # Nothing is moved after the join, and the partitions grow with the anchors.
+    plan = ft.filled_lag_cells(anchors, panel, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and ", 12)" in plan
+    assert "Exchange" not in plan[: plan.index("Join")]
