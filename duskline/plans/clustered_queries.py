@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from duskline.operators import exclusion as ex, features as ft, timeline as tl
@@ -13,13 +15,17 @@ from duskline.sources.clustered import by_entity, cluster_panel
 from duskline.sources.scratch import settle
 
 _LAGGED = ["n", "sales"]
+#: Customers per bucket: with some hundred months each, a task sorts about a million rows.
+A_BUCKET = 10_000
 
 
 def stored_panel(spark, sf) -> DataFrame:
-    """The dense panel by entity, every seventh entity's rows twice."""
+    """The dense panel by entity, every seventh entity's rows twice. Buckets grow with the customers."""
     rows = fx.dense_panel(spark, sf).withColumn("take", F.lit(0))
     again = rows.filter("id % 7 = 0").withColumn("n", F.col("n") + 1).withColumn("take", F.lit(1))
-    return cluster_panel(rows.unionByName(again), "clustered")
+    buckets = math.ceil(fx.customers(spark, sf).count() / A_BUCKET)
+    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return cluster_panel(rows.unionByName(again), "clustered", buckets)
 
 
 def lags_by_entity(panel: DataFrame) -> DataFrame:

@@ -54,3 +54,10 @@ def test_null_keys_and_empty_panels(spark):
     assert [(r["n_M_1"], r["n_M_2"]) for r in lags] == [(2.0, 0.0), (3.0, 2.0)]
     empty = cluster_panel(spark.createDataFrame([], schema), buckets=3)
     assert empty.count() == 0 and empty.columns == ["id", "period", "n"]
+
+
+def test_buckets_grow_with_the_customers(spark, tiny, monkeypatch):
+    monkeypatch.setattr(cq, "A_BUCKET", 10)
+    assert cq.fx.customers(spark, tiny).count() > 120
+    # A file per bucket; the session's shuffle has eight partitions.
+    assert len(cq.stored_panel(spark, tiny).inputFiles()) > 8
