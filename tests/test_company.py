@@ -83,3 +83,17 @@ def test_monthly_sets_do_not_move_wide_rows(spark, panel):
     want = co.ds.monthly_sets(healthy, co.shared(events), 2000)
     key = [F.count("*"), F.sum(F.xxhash64(*sorted(want.columns)).cast("decimal(38,0)"))]
     assert sets.agg(*key).first() == want.agg(*key).first()
+
+
+def test_raw_files_are_laid_out_on_every_core(spark, tiny, monkeypatch):
+    monkeypatch.setattr(cq, "COMPANIES_A_TASK", 15)
+    companies = cq.fx.customers(spark, tiny)
+    files = cq.raw_files(spark, tiny)
+    paths = [p.rsplit("/", 1)[1] for p in files.inputFiles()]
+    assert len(paths) > 8 and all(p.endswith(".csv.gz") for p in paths)
+    plain = cq.raw_rows(spark, tiny).select("id", "DATE")
+    again = plain.filter("id % 7 = 0")
+    undated = companies.filter("id % 5 = 0").withColumn("DATE", F.lit("no date"))
+    want = plain.unionByName(again).unionByName(undated)
+    key = [F.count("*"), F.sum(F.xxhash64("id", "DATE").cast("decimal(38,0)"))]
+    assert files.agg(*key).first() == want.agg(*key).first()
