@@ -97,3 +97,9 @@ def test_raw_files_are_laid_out_on_every_core(spark, tiny, monkeypatch):
     want = plain.unionByName(again).unionByName(undated)
     key = [F.count("*"), F.sum(F.xxhash64("id", "DATE").cast("decimal(38,0)"))]
     assert files.agg(*key).first() == want.agg(*key).first()
+
+
+def test_no_customer_is_joined_after_the_months_are_laid_out(spark, tiny):
+    """That join would broadcast all customers: their file is small, their rows are not."""
+    plan = cq.raw_rows(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Generate") < plan.index("Join") and plan.count("Join ") == 1

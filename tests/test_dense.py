@@ -40,3 +40,8 @@ def test_the_calendar_is_laid_out_after_the_join(spark, orders_dir, name):
     for i in laid_out:
         below = takewhile(lambda line: line[0] > lines[i][0], lines[i + 1 :])
         assert any(x.startswith("Join") for _, x in below)
+
+
+def test_the_lists_of_months_are_not_broadcast(spark, orders_dir):
+    plan = fx.dense_panel(spark, orders_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duskline.operators import exchange as xc, sampling as sp
+from duskline.sources.scratch import settle
 from tests.conftest import rows
 
 MONTHS = [dt.date(2018, m, 1) for m in range(1, 9)]
@@ -110,3 +111,22 @@ def test_filling_ends_soon_where_few_fit(spark, monkeypatch):
     kept = sp.fill_open(pool, quotas, quotas.selectExpr("0L AS id", "event").limit(0), 7, fits)
     assert sorted(r["id"] for r in kept.collect()) == list(range(0, 3000, 50))
     assert len(rounds) <= 6
+
+
+def test_the_controls_are_not_broadcast(spark, monkeypatch):
+    """A file of 300,000 controls is below Spark's bound for a broadcast, their rows are far above it."""
+    plans = []
+
+    def record(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return settle(df, name)
+
+    monkeypatch.setattr(sp, "settle", record)
+    pool = settle(spark.range(300_000).withColumn("g", F.lit(1)))
+    quotas = spark.createDataFrame([(1, m, 40_000) for m in MONTHS], "g int, event date, quota long")
+    fits = lambda a: a.withColumn("filled", F.lit(1))
+    kept = pool.filter("id > 0").withColumn("event", F.element_at(F.array(*map(F.lit, MONTHS)), (F.col("id") % 8 + 1).cast("int")))
+    got = sp.fill_open(pool, quotas, kept, 5, fits, by=["g"])
+    assert got.count() == 300_000
+    unused = [p for name, p in plans if name == "unused"]
+    assert unused and not any("BroadcastHashJoin" in p for p in unused)

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from duskline.operators import features as ft
+from duskline.sources.scratch import settle
 from tests.conftest import month, rows
 
 
@@ -133,3 +134,14 @@ def test_many_anchors_are_dealt_by_entity(spark, monkeypatch):
     plan = ft.filled_lag_cells(anchors, panel, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id" in plan and ", 12)" in plan
     assert "Exchange" not in plan[: plan.index("Join")]
+
+
+def test_many_anchors_do_not_broadcast_the_annual_rows(spark, monkeypatch):
+    annual = settle(spark.range(2000).selectExpr("id", "2017 AS year", "CAST(id AS DOUBLE) AS s"))
+    anchors = settle(spark.range(3000).withColumn("event", F.lit(month("2018-08"))))
+    few = ft.annual_features(anchors, annual, ["s"])
+    monkeypatch.setattr(ft, "ANCHORS_A_TASK", 1000)
+    many = ft.annual_features(anchors, annual, ["s"])
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+    assert many.exceptAll(few).isEmpty() and many.count() == 3000
