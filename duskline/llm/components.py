@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from duskline.operators.joins import grown
 from duskline.sources.scratch import settle
 
 
@@ -28,11 +29,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         low = low.select("u", F.least("u", "m").alias("m"))
-        larger = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        larger = both.join(grown(low), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = settle(larger.distinct(), "large")
         # Every row of `large` points down, so u's smaller neighbours are its own rows.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        smaller = large.join(low, "u")
+        smaller = large.join(grown(low), "u")
         links = settle(
             smaller.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from duskline.llm.catalog import query, table
 from duskline.llm.components import components
 from duskline.llm.text import spare, text_key, whole
+from duskline.operators.joins import grown
 from duskline.sources.scratch import settle
 
 SHINGLE = 3
@@ -100,6 +101,9 @@ def hamming_links(values: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUC
     would grow with the square of the bucket. The values in them enumerate the whole ball of
     radius r instead and look it up in the table of all values, which is linear in their number
     and finds the same pairs.
+
+    Neither side of a lookup is broadcast: Spark takes the rows of an explode to be as large as what
+    was exploded, so a ball of some thousand neighbours per value would look small.
     """
     high_r, low_r = max_bits // 2, max_bits - max_bits // 2 - 1
     high, low = F.shiftrightunsigned("f", 32), F.col("f").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -113,7 +117,7 @@ def hamming_links(values: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUC
         asked = values.select(
             F.col("f").alias("g"), F.explode(_neighbours(segment, _masks(32, radius))).alias("s")
         )
-        found.append(asked.join(held, "s").select("f", "g"))
+        found.append(asked.join(grown(held), "s").select("f", "g"))
         crowded.append(cut.join(full, "s", "left_semi").select("f"))
     every = crowded[0]
     for more in crowded[1:]:
@@ -121,7 +125,7 @@ def hamming_links(values: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUC
     # Both ends of a pair that only the ball finds are crowded: the smaller one asks for the larger.
     larger = F.filter(_neighbours(F.col("f"), _masks(64, max_bits)[1:]), lambda v: v > F.col("f"))
     ball = every.distinct().select(F.col("f").alias("g"), F.explode(larger).alias("f"))
-    found.append(ball.join(values, "f").select("f", "g"))
+    found.append(ball.join(grown(values), "f").select("f", "g"))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -157,12 +161,12 @@ def near_duplicates(
     )
     nodes = settle(rows.groupBy(F.col("fingerprint").alias("f")).agg(F.min("_key").alias("low")), "nodes")
     reached = components(hamming_links(nodes.select("f"), max_bits))
-    placed = nodes.join(reached.withColumnRenamed("node", "f"), "f", "left").select(
+    placed = nodes.join(grown(reached.withColumnRenamed("node", "f")), "f", "left").select(
         "f", "low", F.coalesce("component", "f").alias("group")
     )
     smallest = placed.groupBy("group").agg(F.min("low").alias("component_id"))
-    labels = settle(placed.join(smallest, "group").select("f", "group", "component_id"), "labels")
-    return rows.join(labels, rows["fingerprint"] == labels["f"]).select(
+    labels = settle(placed.join(grown(smallest), "group").select("f", "group", "component_id"), "labels")
+    return rows.join(grown(labels), rows["fingerprint"] == labels["f"]).select(
         F.col("_key").alias(key), "text_key", "fingerprint", "group", "component_id"
     )
 

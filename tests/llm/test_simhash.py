@@ -5,6 +5,7 @@ import random
 import xxhash
 from duskline.llm import simhash
 from duskline.llm.components import components
+from duskline.sources.scratch import settle
 
 
 def union(pairs, nodes):
@@ -76,6 +77,15 @@ def test_links_with_and_without_crowded_segments(spark):
         assert {tuple(r) for r in simhash.hamming_links(table, bits).collect()} == want
 
 
+def test_lookups_are_not_broadcast(spark):
+    """700 values of one segment list 700,000 neighbours, which Spark takes to be as small as the values."""
+    values = settle(spark.range(1400).selectExpr("if(id < 700, id * 4097, xxhash64(id)) AS f"), "values")
+    links = simhash.hamming_links(values)
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Inner, Build" not in plan
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(7, 7), (None, 3)]
