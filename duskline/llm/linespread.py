@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duskline.llm.catalog import query, table
 from duskline.llm.text import spare, text_key, whole
+from duskline.operators.joins import grown
 from duskline.sources.scratch import settle
 
 MIN_SITES = 6
@@ -87,7 +88,7 @@ def drop_spread_lines(
     hits = lines.join(spread, "h").filter(~F.col(own).eqNullSafe(F.col("keeper")))
     hits = settle(hits.groupBy(own, tk).agg(F.collect_set("h").alias(lost)), "lost_lines")
     joined = keyed.alias("d").join(
-        hits.alias("x"),
+        grown(hits).alias("x"),
         (F.col(f"d.{tk}") == F.col(f"x.{tk}")) & F.col(f"d.{key}").eqNullSafe(F.col(f"x.{own}")),
         "left",
     )

@@ -154,3 +154,11 @@ def test_pipeline_equals_plain_stages(spark, tiny):
     mixed = corpus_pipeline.run(spark, tiny).collect()
     assert {r["doc_id"] for r in mixed} <= set(kept) and all(r["text"] == kept[r["doc_id"]] for r in mixed)
     assert len({(r["doc_id"], r["copy"]) for r in mixed}) == len(mixed) > 0.6 * len(kept)
+
+
+def test_the_lists_of_lost_lines_are_not_broadcast(spark):
+    """The lists repeat few hashes, so their file is far smaller than their rows."""
+    docs = spark.range(12).selectExpr("id AS doc_id", "'s' || id AS source", "'one line\nown ' || id AS text")
+    out = linespread.drop_spread_lines(docs)
+    assert sorted(r["text"] for r in out.collect())[:2] == ["one line\nown 0", "own 1"]
+    assert "LeftOuter, BuildRight" not in out._jdf.queryExecution().executedPlan().toString()
